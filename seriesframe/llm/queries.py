@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import ogg, quality, toxicity, training
+from seriesframe.llm import licenses, mixing, ogg, quality, toxicity, training
 
 PER_CLASS = 20_000  # training label rows of each class, at most
 
@@ -18,6 +18,12 @@ def _held_out(frame: DataFrame, n: int, r: int) -> DataFrame:
     return frame.select("doc_id", F.coalesce(training.remainder("doc_id", n) == r, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    weights = mixing.tempered_weights(docs)
+    return mixing.mix(docs, weights).select("doc_id", "source", *mixing.OUT)
+
+
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = training.labelled(docs, _table(spark, sf_dir, "labels"), label="quality", per_class=PER_CLASS, skip=(4, 2))
@@ -25,6 +31,11 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.score(docs, model, keep=["doc_id"]), 4, 2)
 
 
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +46,54 @@ def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, toxicity.fit(rows), keep=["doc_id"]), 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_qda, op6_ogg_media, op7_toxicity_nb)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op6_ogg_media, op7_toxicity_nb)}
+
+_OP1_SQL = """
+WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+shared AS (SELECT source, n, pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * (1000 - count(*) OVER ()) AS x FROM counted),
+whole AS (SELECT source, 1 + CAST(floor(x) AS BIGINT) AS a, row_number() OVER (ORDER BY floor(x) - x, source NULLS FIRST) AS place, 1000 - sum(1 + CAST(floor(x) AS BIGINT)) OVER () AS spare FROM shared),
+weights AS (SELECT source, CAST(a + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM whole),
+total AS (SELECT CAST(sum(a) AS BIGINT) AS d, list(a ORDER BY k) AS av, list(k ORDER BY k) AS ks FROM weights),
+slots(t, sent, k) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(av, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM total
+  UNION ALL
+  SELECT t + 1, list_transform(ks, lambda k: sent[k] + CASE WHEN k = best THEN 1 ELSE 0 END), best
+  FROM (
+    SELECT t, sent, ks, list_min(list_transform(list_filter(ks, lambda k: (sent[k] * d) // av[k] <= t + 1), lambda k: (((sent[k] + 1) * d + av[k] - 1) // av[k]) * 100000 + k)) % 100000 AS best
+    FROM slots, total WHERE t < d - 1
+  )
+),
+turns AS (SELECT k, t AS slot, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS turn FROM slots WHERE t >= 0),
+ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, md5(coalesce(text, ''))) - 1 AS r FROM documents
+),
+placed AS (SELECT r.doc_id, r.source, r.r // 8 AS mix_block, r.r % 8 AS mix_offset, w.a, w.k, d FROM ranked r JOIN weights w ON r.source IS NOT DISTINCT FROM w.source, total)
+SELECT doc_id, source, CAST((mix_block // a) * d + slot AS BIGINT) AS mix_slot, mix_block, mix_offset,
+  CAST((mix_block * d) // a AS BIGINT) AS mix_release, CAST(((mix_block + 1) * d + a - 1) // a AS BIGINT) AS mix_deadline,
+  CAST(((mix_block // a) * d + slot) * 8 + mix_offset AS BIGINT) AS mix_position
+FROM placed p JOIN turns t ON t.k = p.k AND t.turn = p.mix_block % p.a
+"""
+
+
+def _op3_sql() -> str:
+    """Sentences by regular expressions, known ones numbered, and rules tried in order on the sequence as one string."""
+    mark = {name: chr(0x100 + k) for k, (name, _) in enumerate(licenses.SENTENCES)}
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(s)}, {quoted(mark[name])}, {quoted(name)})" for name, s in licenses.SENTENCES)
+    left = "seq"
+    for k, (_, steps) in enumerate(licenses.RULES):
+        left = f"replace({left}, {quoted(''.join(mark[x] for x in steps))}, {quoted(chr(0x2000 + k))})"
+    rules = ", ".join(f"({quoted(chr(0x2000 + k))}, {quoted(name)})" for k, (name, _) in enumerate(licenses.RULES))
+    return f"""
+WITH known(sentence, mark, name) AS (VALUES {known}), rules(mark, licence) AS (VALUES {rules}),
+cut AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\f\\x0B\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+plain AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(regexp_replace(lower(s), '["'',;:*#‘’“”]', ' ', 'g'), '\\s+', ' ', 'g')), '[ .!?]+$', '') AS s FROM lines),
+hits AS (SELECT doc_id, string_agg(mark, '' ORDER BY i) AS seq, string_agg(name, ',' ORDER BY i) AS sentence_ids FROM plain JOIN known ON s = sentence GROUP BY doc_id),
+found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses, count(*) AS n FROM (SELECT doc_id, unnest(string_split({left}, '')) AS c FROM hits) JOIN rules ON c = mark GROUP BY doc_id)
+SELECT d.doc_id, coalesce(h.sentence_ids, '') AS sentence_ids, coalesce(f.licenses, '') AS licenses, CAST(coalesce(f.n, 0) AS BIGINT) AS n_matches
+FROM documents d LEFT JOIN hits h USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_pfair_mix": _OP1_SQL, "op3_license_rules": _op3_sql()}
