@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import licenses, mixing, ogg, quality, toxicity, training
+from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, ogg, quality, toxicity, training
 
 PER_CLASS = 20_000  # training label rows of each class, at most
 
@@ -46,7 +46,15 @@ def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, toxicity.fit(rows), keep=["doc_id"]), 5, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op6_ogg_media, op7_toxicity_nb)}
+def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(_table(spark, sf_dir, "pages"), htmlmain.default_model())
+
+
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op10_html_crf)}
 
 _OP1_SQL = """
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
