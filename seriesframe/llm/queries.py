@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, ogg, quality, toxicity, training
+from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, ogg, quality, spm, toxicity, training
 
 PER_CLASS = 20_000  # training label rows of each class, at most
 
@@ -36,6 +36,10 @@ def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.round_trip(_table(spark, sf_dir, "documents"), spm.load(spm.MODEL_PATH))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(_table(spark, sf_dir, "pages"), htmlmain.default_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op10_html_crf)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op4_sentencepiece, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op10_html_crf)}
 
 _OP1_SQL = """
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
