@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, ogg, quality, spm, toxicity, training
+from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, neardup, ogg, quality, spm, toxicity, training
 
 PER_CLASS = 20_000  # training label rows of each class, at most
 
@@ -54,11 +54,15 @@ def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(_table(spark, sf_dir, "pages"), htmlmain.default_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op4_sentencepiece, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op10_html_crf)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op4_sentencepiece, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op9_tensor_minhash, op10_html_crf)}
 
 _OP1_SQL = """
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -108,4 +112,24 @@ FROM documents d LEFT JOIN hits h USING (doc_id) LEFT JOIN found f USING (doc_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_pfair_mix": _OP1_SQL, "op3_license_rules": _op3_sql()}
+_OP9_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+),
+grams AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM tokens
+  )
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, to_id) AS (SELECT a, b FROM both UNION SELECT r.id, e.b FROM reach r JOIN both e ON r.to_id = e.a),
+least_id AS (SELECT id, min(to_id) AS m FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(m, d.doc_id) >= d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON id = d.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op9_tensor_minhash": _OP9_SQL, "op1_pfair_mix": _OP1_SQL, "op3_license_rules": _op3_sql()}
