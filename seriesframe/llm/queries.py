@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, neardup, ogg, quality, spm, toxicity, training
+from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, neardup, ogg, quality, spm, substring, toxicity, training
 
 PER_CLASS = 20_000  # training label rows of each class, at most
 
@@ -40,6 +40,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(_table(spark, sf_dir, "documents"), spm.load(spm.MODEL_PATH))
 
 
+def op5_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(_table(spark, sf_dir, "pages"), htmlmain.default_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op4_sentencepiece, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op9_tensor_minhash, op10_html_crf)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_quality_qda, op3_license_rules, op4_sentencepiece, op5_fm_substring, op6_ogg_media, op7_toxicity_nb, op8_minhash_fingerprints, op9_tensor_minhash, op10_html_crf)}
 
 _OP1_SQL = """
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -124,12 +128,24 @@ grams AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(id, to_id) AS (SELECT a, b FROM both UNION SELECT r.id, e.b FROM reach r JOIN both e ON r.to_id = e.a),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, to_id) AS (SELECT a, b FROM ends UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.to_id = e.a),
 least_id AS (SELECT id, min(to_id) AS m FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(m, d.doc_id) >= d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON id = d.doc_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op9_tensor_minhash": _OP9_SQL, "op1_pfair_mix": _OP1_SQL, "op3_license_rules": _op3_sql()}
+_OP5_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM windows SEMI JOIN again USING (h)),
+gone_lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone_lists USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_fm_substring": _OP5_SQL, "op9_tensor_minhash": _OP9_SQL, "op1_pfair_mix": _OP1_SQL, "op3_license_rules": _op3_sql()}
