@@ -98,13 +98,13 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.asarray(values, np.float64).view(np.int64)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _nan_bits(value: pa.Array) -> pa.Array:
     v = value.to_numpy(zero_copy_only=False)
     return pa.array(_bits(v), mask=~np.isnan(v))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _with_bits(value: pa.Array, bits: pa.Array) -> pa.Array:
     v = value.to_numpy(zero_copy_only=False).copy()
     known = bits.is_valid().to_numpy(zero_copy_only=False)
