@@ -4,15 +4,17 @@ A document's set holds its distinct runs of five words (A-Z lower-cased; fewer w
 documents are linked if 100 * |intersection| >= 75 * |union|; a component is what links connect.
 
 1. One pass hashes every text.  Equal sets become one class, so that copies are never expanded.
-2. Two collections of M = 16 half keys each, of two minima each, give M * M = 256 table keys by pairing (the tensor trick: 64 minima instead of
-   1024).  A pair at similarity 0.75 shares no key with probability below 4e-6.  A key that only one class
+2. Two collections of M = 20 half keys each, of three minima each, give M * M = 400 table keys by pairing (the tensor trick: 120 minima
+   instead of 2400).  A pair at similarity 0.75 shares no key with probability below 4e-5.  A key that only one class
    holds can't link, and it is known from its halves: half keys are counted first, and only classes that share a
    half key in both collections form pairs, of shared halves only.
-3. In each table bucket, members are compared with two centres (its least and its largest id), never all with all.  Verified links are
-   merged into components.
-4. Buckets that still hold more than one component need more: their members are joined by a prefix filter.  With
-   shingles ordered by frequency, linked sets share one of their first |x| - ceil(0.75 |x|) + 1 shingles, so that
-   only members of different components with a common rare shingle are compared.  This step drops no link, whatever a bucket's size.
+3. In each table bucket, members are compared with two centres (its least and its largest id), never all with all.  Pairs whose sizes or parity
+   bitmaps (1024 bits, which bound the symmetric difference from below) rule a link out go; the others are verified on full
+   sets.  Links are merged into components.
+4. Buckets of four members or more that still hold more than one component need more (smaller ones are all compared by then): their members
+   are joined by a prefix filter.  With shingles ordered by frequency, linked sets share one of their first |x| - ceil(0.75 |x|) + 1
+   shingles, so that only members of different components with a common rare shingle are compared, again behind sizes and
+   bitmaps.  This step drops no link, whatever a bucket's size.
 
 All steps are joins and aggregations over keys; tables between them are written to the shared folder.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,8 +35,11 @@ from seriesframe.llm import textcols as tc
 from seriesframe.llm.fingerprint import shingles, signatures
 from seriesframe.llm.tables import Workspace
 
-HALVES = 16  # half keys of each collection
-MINIMA = 2  # minima of a half key
+HALVES = 20  # half keys of each collection
+MINIMA = 3  # minima of a half key
+BITMAP = 16  # longs of a parity bitmap
+#: Ids that are broadcast to pick documents, at most (8 bytes each); beyond, documents are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -63,10 +68,17 @@ def _hash_all(batches):
                 sums = [np.concatenate([[0], np.cumsum(tc.mix(h ^ np.uint64(s)), dtype=np.uint64)]).astype(np.uint64) for s in (0x1234567, 0x9ABCDEF0FEDC)]
                 one, two = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
             s = signatures(h, first, 2 * HALVES * MINIMA).astype(np.uint64).reshape(b - a, 2, HALVES, MINIMA)
-            keys = (s[..., 0] << np.uint64(32) | s[..., 1]).view(np.int64)
+            with np.errstate(over="ignore"):
+                keys = np.zeros(s.shape[:3], np.uint64)
+                for k in range(MINIMA):
+                    keys = (keys ^ s[..., k]) * np.uint64(tc.BASE)
+                keys = tc.mix(keys).view(np.int64)
+            row = np.repeat(np.arange(b - a), n)
+            odd = np.bincount(row * 64 * BITMAP + (h & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=(b - a) * 64 * BITMAP) & 1
+            bitmaps = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             offsets = pa.array(np.arange(b - a + 1) * HALVES, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(keys[:, k]).ravel())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(one), pa.array(two), *lists], ["id", "n", "h1", "h2", "u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(one), pa.array(two), *lists, pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BITMAP, pa.int32()), pa.array(bitmaps))], ["id", "n", "h1", "h2", "u", "v", "bits"])
 
 
 def _shingle_rows(batches):
@@ -75,6 +87,20 @@ def _shingle_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["id", "s"])
 
 
+def _possible(percent: int, a: str = "x", b: str = "y") -> Column:
+    """Whether sizes n and bitmaps of aliases a and b leave a link possible."""
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(BITMAP)), F.lit(0))
+    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & ((total - apart) * (100 + percent) >= total * (2 * percent))
+
+
+def pick(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key is in ids (distinct, saved): by a broadcast of BROADCAST_IDS ids at most, else by a shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, key, "left_semi")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets pass."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("_b")), "b")
@@ -108,50 +134,56 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_t"))
-    hashed = work.save(rows.mapInArrow(_hash_all, "id long, n long, h1 long, h2 long, u array<long>, v array<long>"), "hashed")
+    hashed = work.save(rows.mapInArrow(_hash_all, "id long, n long, h1 long, h2 long, u array<long>, v array<long>, bits array<long>"), "hashed")
     some = hashed.where("n > 0 and id is not null")
-    classes = work.save(some.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.first("u").alias("u"), F.first("v").alias("v")), "classes")
+    one = some.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("other"), *[F.first(c).alias(c) for c in ("n", "u", "v", "bits")])
+    classes = work.save(one, "classes")
 
     def shared(collection: str, among: DataFrame) -> DataFrame:
         """(id, half keys of the collection that another class has too)."""
-        keys = among.select("id", F.posexplode(collection).alias("k", "key"))
-        several = keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k", "key")
-        return keys.join(several, ["k", "key"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias(collection))
+        keys = among.select("id", F.explode(F.transform(collection, lambda x, k: x.bitwiseXOR(k.cast("long")))).alias("key"))
+        several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+        return keys.join(several, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias(collection))
 
     first = work.save(shared("u", classes), "first")
-    left = classes.select("id", "v").join(first.select("id"), "id", "left_semi")
+    left = work.save(classes.select("id", "v").join(first.select("id"), "id", "left_semi"), "left")
     halves = first.join(shared("v", left), "id")
     keyed = halves.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v"))
-    buckets = work.save(keyed.select("id", F.xxhash64("u.k", "u.key", "v.k", "v.key").alias("key")), "buckets")
+    keyed = keyed.select("id", F.xxhash64("u", "v").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    buckets = work.save(keyed.join(centres, "key"), "buckets")
 
-    centres = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = buckets.join(centres, "key")
-    stars = members.select(F.col("id"), F.explode(F.array("low", "high")).alias("c")).where("id <> c")
+    stars = buckets.select(F.col("id"), F.explode(F.array("low", "high")).alias("c")).where("id <> c")
     pairs = work.save(stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = rows.where("id is not null").join(wanted, "id", "left_semi")
-    sets = work.save(texts.mapInArrow(_shingle_rows, "id long, s array<long>").where("size(s) > 0").distinct(), "sets")
-    links = work.save(_linked(pairs, sets, percent), "verified")
+    facts = classes.select("id", "n", "bits")
+    near = pairs.join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id")).where(_possible(percent)).select("a", "b")
+    near = work.save(near.distinct(), "near")
+    large = buckets.where("size > 3").select("id")
+    wanted = work.save(near.select(F.col("a").alias("id")).union(near.select("b")).union(large).distinct(), "wanted")
+    texts = pick(rows.where("id is not null"), wanted)
+    sets = work.save(texts.mapInArrow(_shingle_rows, "id long, s array<long>").where("size(s) > 0"), "sets")
+    links = work.save(_linked(near, sets, percent), "verified")
     label = components(links, work)
 
-    # buckets of several components: their members by prefix filter
-    placed = buckets.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    # larger buckets of several components: their members by prefix filter
+    placed = buckets.where("size > 3").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("key")
     open_ = work.save(placed.join(mixed, "key", "left_semi").select("id", "label").distinct(), "open")
-    parts = sets.join(open_, "id").select("id", "label", F.size("s").alias("n"), F.explode("s").alias("s"))
-    parts = work.save(parts, "parts")
-    counts = parts.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = parts.join(counts, "s").withColumn("r", F.row_number().over(W.partitionBy("id", "n").orderBy("df", "s")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("id", "label", "n", "s")
-    prefix = work.save(prefix, "prefix")
+    parts = pick(sets, work.save(open_.select("id").distinct(), "open-ids")).select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    counts = parts.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one member only come first in the order; how many there are follows from the rest
+    common = parts.join(counts, "s").withColumn("r", F.row_number().over(W.partitionBy("id", "n").orderBy(F.desc("df"), F.desc("s"))))
+    # places count from the end: the prefix is what is left without the last ceil(percent * n) - 1 shingles
+    prefix = common.where(F.col("r") > F.ceil(F.col("n") * percent / 100) - 1).select("id", "n", "s")
+    prefix = work.save(prefix.join(open_, "id").join(facts.select("id", F.col("n").cast("int").alias("n"), "bits"), ["id", "n"]).select("id", "label", "n", "s", "bits"), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
-    more = x.join(y, F.col("x.s") == F.col("y.s")).where(f"x.id < y.id and x.label <> y.label and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}")
-    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible(percent))
+    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     links = links.union(_linked(work.save(more, "rest"), sets, percent))
+    # rows of one id with several sets join the components of all of them
     several = some.groupBy("id").agg(F.countDistinct("h1", "h2").alias("_n")).where("_n > 1").select("id")
-    # an id with several sets has an edge to each of their classes; others get their class's component below
     twice = some.join(several, "id", "left_semi").join(classes.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    label = components(links.union(twice), work)
+    label = components(links.union(twice).distinct(), work)
 
     named = classes.select("h1", "h2", F.col("id").alias("rep")).join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
     out = hashed.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
