@@ -6,7 +6,7 @@ run(spark, sf_dir) applies all of them to `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesframe.llm import mixing, neardup, quality, spm, substring, training
@@ -27,16 +27,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the least id.  Rows that repeat its id go too; rows without an id stay."""
     docs = docs.select(*COLUMNS)
+    work = Workspace(spark, "kept")
+    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
     kept = neardup.classify(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(_by_id())
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", first).where("_n = 1")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = work.save(kept.join(several.withColumn("several", F.lit(True)), "doc_id", "left"), "kept")
+    once = neardup.pick(docs, kept.where("several is null").select("doc_id"), "doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    first = neardup.pick(docs, kept.where("several").select("doc_id"), "doc_id").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return once.unionByName(first.select(*COLUMNS)).unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
