@@ -87,7 +87,11 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of the model goes over the end of a word")
         self.digest = hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.kind)).encode()).hexdigest()
-        self.longest = max(map(len, self.ids))
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            tails.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the pieces that end in two given characters, longest first.
+        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items() if len(t) == 2}
         alphabet = {c for p in self.ids for c in p}
         cut = "".join(chr(c) for c in range(32) if chr(c) not in alphabet)  # characters that no piece has part words as well
         cut = re.escape(cut)
@@ -213,7 +217,7 @@ def _spell(model: Model, piece: str) -> list[int]:
 def encode_words(model: Model, words: list[str], stable: dict[tuple[int, int], bool] | None = None) -> list[list[int]]:
     """Ids of each of the sorted distinct words, in their order."""
     stable = {} if stable is None else stable
-    bpe, ids, scores, longest = model.kind == _BPE, model.ids, model.scores, model.longest
+    bpe, ids, scores, tails = model.kind == _BPE, model.ids, model.scores, model.tails.get
     get = ids.get
     # forward states by position: last id (-1: none or spelled in bytes), length of the last step, score
     last, step, best = [-1], [0], [0.0]
@@ -231,7 +235,10 @@ def encode_words(model: Model, words: list[str], stable: dict[tuple[int, int], b
         del last[keep + 1 :], step[keep + 1 :], best[keep + 1 :]
         for end in range(keep + 1, len(word) + 1):
             own, size, score = -1, 1, None
-            for start in range(max(0, end - longest), end):
+            for n in (*tails(word[end - 2 : end], ()), 1) if end > 1 else (1,):
+                if n > end:
+                    continue
+                start = end - n
                 i = get(word[start:end])
                 if i is None:
                     continue
@@ -325,10 +332,28 @@ class Encoder:
         return ids, total[np.concatenate([[0], np.cumsum(sizes)])]
 
 
+def _spelling(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces in a row, and where each begins."""
+    def make():
+        spelled = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, k in zip(model.pieces, model.kinds, strict=True)]
+        return np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
+
+    return _cache(f"spelling-{model.digest}", make)
+
+
+def decode_all(model: Model, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """Texts of ids[offsets[k]:offsets[k + 1]]."""
+    data, starts = _spelling(model)
+    first, size = starts[ids], starts[ids + 1] - starts[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    whole = data[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    cuts = ends[offsets].tolist()
+    texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [t[1:] if t.startswith(" ") else t for t in texts] if model.dummy_prefix else texts
+
+
 def decode(model: Model, ids) -> str:
-    table = _cache(f"bytes-{model.digest}", lambda: [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, k in zip(model.pieces, model.kinds, strict=True)])
-    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
-    return text[1:] if model.dummy_prefix and text.startswith(" ") else text
+    return decode_all(model, np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 def _cache(name: str, make):
@@ -357,8 +382,7 @@ def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: li
                 ids, offsets = encoder.encode(texts)
                 arrays = [*(batch.column(c).slice(a, b - a) for c in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
                 if verify:
-                    plain = ids.tolist()
-                    back = [decode(model, plain[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                    back = decode_all(model, ids, offsets)
                     arrays += [pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *extra])
 
