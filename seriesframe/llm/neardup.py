@@ -189,4 +189,5 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     out = hashed.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return work.last(out)

@@ -198,7 +198,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
 
     back = single.select("sg", "sw", "k", "g", "w").join(flags.select("g", "w"), ["g", "w"]).groupBy("sg", "sw").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     flags = flags.join(split, "g", "left_anti").union(back.select("sg", "sw", "mask"))
-    return segments.join(flags, ["g", "w"]).groupBy("id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
+    return work.last(segments.join(flags, ["g", "w"]).groupBy("id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("runs")))
 
 
 def _kept(data: np.ndarray, runs, window: int) -> tuple[int, int, bytes]:

@@ -37,10 +37,13 @@ class Workspace:
         frame.write.parquet(at)
         return self.spark.read.schema(frame.schema).parquet(at)
 
-    def drop(self, frame: DataFrame) -> None:
-        """Delete a table that save() returned, once nothing reads it any more."""
-        path = frame.inputFiles()
-        if path:
-            jvm = self.spark._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+    def last(self, frame: DataFrame, name: str = "result") -> DataFrame:
+        """save(), and delete all other tables of this workspace: nothing reads them any more."""
+        saved = self.save(frame, name)
+        jvm, kept = self.spark._jvm, f"{self.count:03d}-{name}"
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            if status.getPath().getName() != kept:
+                files.delete(status.getPath(), True)
+        return saved
