@@ -1,9 +1,12 @@
 """Licence scan by sentence rules, in SQL functions only.
 
-A text is cut into sentences; each is normalised (lower case, quotes and marks dropped, white space as one
-space) and mapped to the identifier of a known licence sentence.  A rule is a sequence of identifiers; a
-text carries the rule's licence where the sequence occurs, in order and without other KNOWN sentences
-in between.  Where rules overlap, the one listed first wins: identifiers used by one match aren't used again.
+A text is cut into parts, at line feeds and after . ! ? ; : before white space; each part is normalised (lower case,
+comment and list marks at its ends stripped, quotes and marks dropped, white space as one space).  A known licence sentence
+is found where it is one part or several parts on end: wrapped lines and marks within a sentence don't hide it, and a
+one-line notice needs no stop.  Where known sentences share parts, the first and longest counts.  A rule is a sequence
+of identifiers of known sentences; a text carries the rule's licence where the sequence occurs, in order and without
+other KNOWN sentences in between.  Where rules overlap, the one listed first wins: identifiers used by one match
+aren't used again.
 
 The rule base is fixed, so its table is a constant of the plan: no join, no shuffle, no Python.
 
@@ -78,34 +81,61 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Unlicense", ("unlicense-notice",)),
 )
 
-#: A sentence ends at a line feed, or after . ! ? before white space; a colon or semicolon followed by white space ends one too.
-CUT = r"\n|(?<=[.!?;:])[ \t\f\x0B\r]+"
-#: Marks that don't count, at any place; then stops at the end.
-DROP = r"[\"',;:*#‘’“”]"
-#: Bytes of a sentence that can be a known one: longer and shorter ones need no normalising.
-_SHORT = min(len(s) for _, s in SENTENCES)
+#: Further wordings of known sentences, as they read after normalisation: MIT-0's permission has no conditions.
+FORMS: tuple[tuple[str, str], ...] = (
+    ("mit-permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (the software) to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("apache2-copy", "you may obtain a copy of the license at https //www.apache.org/licenses/license-2.0"),
+)
+
+#: Steps from a lower-case text to its parts, one a line.  Each pattern passes over the text once (no step back over long runs).
+STEPS: tuple[tuple[str, str], ...] = (
+    (r"(?<=[.!?;:])[ \t\f\x0B\r]+", "\n"),  # a part ends at a line feed, or after these marks before white space
+    (r"(?md)^[ \t\f\x0B\r]*+(?:dnl|rem)(?=[ \t])|\(\*|\*\)", " "),  # comment marks with letters or brackets
+    (r"[\"',;:*#‘’“”]", " "),  # marks that don't count, at any place
+    (r"[ \t\f\x0B\r]++", " "),
+    (r"(?<=\() | (?=\))", ""),
+    (r"(?md)^[^\p{L}\p{N}(\n]++", ""),  # comment marks, list marks and white space before a part
+    (r"(?<![^\p{L}\p{N})\n])[^\p{L}\p{N})\n]++(?=\n|\z)", ""),  # and behind it, with its stops
+    (r"\n{2,}+", "\n"),
+)
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.lower(sentence), DROP, " ")
-    return F.regexp_replace(F.trim(F.regexp_replace(plain, r"[\s]+", " ")), r"[ .!?]+$", "")
+def parts(text: Column) -> Column:
+    """The normalised parts of a text, one a line."""
+    out = F.lower(text)
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def _rare(known: list[str]) -> list[str]:
+    """Words of which each known sentence has one at least, so that texts without any need no normalising."""
+    out: list[str] = []
+    left = known
+    while left:
+        words = sorted({w for s in left for w in s.split() if w.isalpha()} or {w for s in left for w in s.split()})
+        out.append(max(words, key=lambda w: (sum(w in s for s in left) * (len(w) > 6 and w != "without"), len(w))))
+        left = [s for s in left if out[-1] not in s]
+    return out
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """doc_id, sentence_ids (in order), licenses (distinct, sorted), n_matches; one row for each row."""
     ids = {name: chr(0x100 + k) for k, (name, _) in enumerate(sentences)}  # one character for each identifier: sequences are strings
-    by_text = {s: ids[name] for name, s in sentences}
-    known = list(by_text)
+    by_text = {s: ids[name] for name, s in (*(f for f in FORMS if f[0] in ids), *sentences)}
+    known = sorted(by_text, key=len, reverse=True)
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
     names = F.create_map(*[F.lit(x) for name, c in ids.items() for x in (c, name)])
-    short = min(map(len, known), default=0)
-
-    cut = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), CUT), lambda s: F.length(s) >= short)
-    # a known sentence begins with one of few words: others aren't normalised
-    heads = sorted({s.split()[0] for s in known})
-    likely = F.filter(cut, lambda s: s.rlike(r"(?i)^[\s\"'*#]*(?:" + "|".join(map(_quote, heads)) + r")\b"))
-    hits = F.filter(F.transform(likely, normalised), lambda s: s.isin(known))
-    sequence = F.array_join(F.transform(hits, lambda s: F.element_at(table, s)), "")
+
+    # a sentence begins and ends where a part does; its spaces may be ends of parts
+    pattern = "(?md)^(?:" + "|".join("[ \n]".join(map(_quote, s.split(" "))) for s in known) + ")$"
+    whole = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(whole)
+    likely = F.lit(False)
+    for word in _rare(known):
+        likely = likely | F.contains(low, F.lit(word))
+    hits = F.when(likely, F.regexp_extract_all(parts(whole), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    sequence = F.array_join(F.transform(hits, lambda s: F.element_at(table, F.translate(s, "\n", " "))), "")
 
     frame = docs.select(F.col(doc_id).alias("doc_id"), sequence.alias("_seq"))
     # each rule consumes its places, in order of precedence: a match turns into the rule's own mark

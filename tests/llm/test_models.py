@@ -4,6 +4,7 @@ import html
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -152,6 +153,61 @@ def test_licenses(spark):
     assert r.licenses == ["BSD-2-Clause"] and r.n_matches == 1 and len(r.sentence_ids) == 3
 
 
+MIT_0 = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."""
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.'
+GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+GPL_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+#: Licence, paragraphs as published, identifiers.
+PUBLISHED = [
+    ("GPL-3.0-or-later", [GPL.format(":", ",", 3), GPL_REST], ["gpl-redistribute", "gpl-no-warranty", "gpl-see"]),
+    ("GPL-2.0-or-later", [GPL.format(";", ";", 2), GPL_REST], ["gpl2-redistribute", "gpl-no-warranty", "gpl-see"]),
+    ("GPL-3.0-or-later", [GPL.format(":", ",", 3)], ["gpl-redistribute"]),
+    ("GPL-2.0-or-later", [GPL.format(";", ";", 2)], ["gpl2-redistribute"]),
+    ("MIT", ["Copyright (c) 2020 Somebody", MIT_0[:-1] + ", subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", AS_IS], ["mit-permission", "mit-notice-kept", "mit-as-is"]),
+    ("MIT-0", ["MIT No Attribution", MIT_0, AS_IS], ["mit-permission", "mit-as-is"]),
+    ("Apache-2.0", ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "    http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'], ["apache2-header", "apache2-copy", "apache2-as-is", "apache2-see"]),
+    ("Apache-2.0", ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'], ["apache2-header"]),
+    ("BSD-3-Clause", [*BSD, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."], ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", BSD, ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    ("GPL-3.0-only", ["This work is licensed under the GNU General Public License, version 3."], ["gpl3-notice"]),
+    ("GPL-3.0-only", ["Licensed under the GNU General Public License, version 3"], ["gpl3-short"]),
+    ("LGPL-3.0-only", ["This work is licensed under the GNU Lesser General Public License, version 3."], ["lgpl3-notice"]),
+    ("AGPL-3.0-only", ["This work is licensed under the GNU Affero General Public License, version 3."], ["agpl3-notice"]),
+    ("CC-BY-NC-4.0", ["Licensed under CC BY-NC 4.0."], ["ccbync4-notice"]),
+    ("CC-BY-4.0", ["Licensed under CC BY 4.0."], ["ccby4-notice"]),
+    ("CC-BY-SA-4.0", ["Licensed under CC BY-SA 4.0."], ["ccbysa4-notice"]),
+    ("CC0-1.0", ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."], ["cc0-notice"]),
+    ("MIT", ["Released under the MIT License"], ["mit-notice"]),
+    ("MIT", ["Licensed under the MIT license."], ["mit-short"]),
+    ("Apache-2.0", ["Licensed under the Apache License, Version 2.0"], ["apache2-notice"]),
+    ("ISC", ['Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.', "THE SOFTWARE IS PROVIDED BY SOMEBODY"], ["isc-permission"]),
+    ("MPL-2.0", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."], ["mpl2-notice"]),
+    ("Unlicense", ["This is free and unencumbered software released into the public domain."], ["unlicense-notice"]),
+]
+
+
+def test_published_licenses(spark):
+    """Every known sentence and rule in its published wording: one line a paragraph, wrapped, and in comments of several kinds."""
+    assert {i for _, _, x in PUBLISHED for i in x} == {name for name, _ in licenses.SENTENCES}
+    assert {(name, tuple(x)) for name, _, x in PUBLISHED} == set(licenses.RULES)
+
+    def wrapped(paragraphs, width, first, mark, last):
+        lines = [x for p in paragraphs for x in (*(textwrap.wrap(p, width, break_long_words=False) if width else [p]), "")]
+        return first + "".join(f"{mark}{x}\n" for x in lines) + last
+
+    ways = [(0, "", "", ""), (72, "", "", ""), (40, "", "", ""), (76, "", "// ", ""), (76, "/*\n", " * ", " */\n"), (60, "", "# ", ""), (70, "<!--\n", "", "-->\n"), (50, "", "-- ", ""), (65, "", ";; ", ""), (65, "", "dnl ", ""), (60, "", "  > ", "")]
+    cases = [(name, x, wrapped(p, *way)) for name, p, x in PUBLISHED for way in ways]
+    cases += [(name, x, f"Some words here\n{t}\nint main() {{}}\n".replace("\n", "\r\n")) for name, x, t in cases]
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for k, (name, x, t) in enumerate(cases):
+        assert (got[k].licenses, got[k].sentence_ids, got[k].n_matches) == ([name], x, 1), t
+    other = ["It was released under the MIT License.", "Released under the MIT\nLicense of old.", "Licensed under CC BY\n\nor so 4.0.", "-" * 100000 + " license " + "(*;" * 100000]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(other)], "doc_id long, text string")
+    assert all(r.licenses == [] and r.sentence_ids == [] for r in licenses.scan(docs).collect())
+
+
 def slow_schedule(weights):
     """Earliest deadline first, slot by slot."""
     used = [(s, a) for s, a in weights.items() if a > 0]
