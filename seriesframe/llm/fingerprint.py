@@ -143,7 +143,8 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """Fingerprint every text and its edited text (see the query), and compare with the next document by descending id.
 
     Documents are dealt by ranges of ids, once.  Cut points are ids; the first document of each range goes to the range before it too,
-    so that every task has its last document's successor.  Ranges follow quantiles of the ids, of which one sketch comes to the driver.
+    so that every task has its last document's successor.  Ranges follow quantiles of the ids, of which one sketch comes to the driver;
+    the sketch works in doubles, so each range then ends at the greatest id that it really has (one more aggregate over the ids).
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -153,22 +154,26 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         return spark.createDataFrame([], schema)
     parts = int(max(1, min(size // part_bytes + 1, 20000)))
     cuts: list[int] = []
+
+    def placed(points: np.ndarray):
+        @F.pandas_udf("int")
+        def place(ids: pd.Series) -> pd.Series:
+            """Twice the range, and 1 more for a range's first document."""
+            known = ids.to_numpy(np.int64)
+            at = np.searchsorted(points, known, "left")
+            cut = np.append(points, np.iinfo(np.int64).max)[at] == known
+            return pd.Series((2 * at + (cut & (at < len(points)))).astype(np.int32))
+
+        # without nulls, which would turn the ids of a batch into doubles
+        return place(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min)))
+
     if parts > 1 and low is not None:
         shares = [k / parts for k in range(1, parts)]
         found = rows.agg(F.percentile_approx("doc_id", shares, max(1000, 20 * parts)).alias("q")).first().q
-        cuts = sorted({x for x in found if low < x})
+        ends = rows.select("doc_id", F.shiftright(placed(np.array(sorted(set(found)), np.int64)), 1).alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("end"))
+        cuts = sorted(r.end for r in ends.collect() if r.end is not None and low < r.end < high)
     # range k holds the ids over cut k-1, up to cut k; null ids are in range 0, behind all others
-    points = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        """Twice the range, and 1 more for a range's first document."""
-        known = ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        at = np.searchsorted(points, known, "left")
-        cut = np.append(points, np.iinfo(np.int64).max)[at] == known
-        return pd.Series((2 * at + (cut & (at < len(points)))).astype(np.int32))
-
-    rows = rows.withColumn("_at", place("doc_id"))
+    rows = rows.withColumn("_at", placed(np.array(cuts, np.int64)))
     own = F.shiftright("_at", 1)
     first_of_all = F.col("doc_id") == F.lit(high) if high is not None else F.col("doc_id").isNull()
     wraps = F.when(F.coalesce(first_of_all, F.lit(False)), F.struct(F.lit(0).alias("part"), F.lit(2).alias("role")))
@@ -200,6 +205,12 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
         waiting: tuple[int | None, str, int] | None = None
         helped = False
+
+        def complete(part: int | None) -> None:
+            """A row of the next range, or the end: the last row must have had its successor."""
+            if waiting is not None and not helped and waiting[2] != part:
+                raise RuntimeError(f"no next document for doc_id {waiting[0]}, the last of range {waiting[2]}")
+
         for batch in batches:
             done: list[tuple[int | None, str, str]] = []
             weight = 0
@@ -211,11 +222,13 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                         yield finish(done)
                         done, weight = [], 0
                 if role == 0:
+                    complete(part)
                     waiting, helped = (i, t, part), False
                 else:
                     helped = True  # only the first helper of a range counts
             if done:
                 yield finish(done)
+        complete(None)
 
     return dealt.drop("_h").mapInArrow(run, schema)
 

@@ -135,6 +135,19 @@ def test_neighbours(spark):
     assert fingerprint.compare_neighbours(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("with_null", [False, True])
+def test_neighbours_of_large_ids(spark, with_null):
+    """Ids that doubles don't hold, over many ranges: each row has its result, with the next document's text."""
+    rng = random.Random(5)
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(300)} | {2**62 + k for k in range(300)} | {-(2**63), 2**63 - 1}, reverse=True)
+    rows = [(i, f"text of {i} " * rng.choice([1, 3])) for i in ids] + [(None, "nil")] * with_null
+    following = [rows[(k + 1) % len(rows)][1] for k in range(len(rows))]
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()) for (i, t), n in zip(rows, following, strict=True)]
+    docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string")
+    got = fingerprint.compare_neighbours(docs, part_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_likeness_estimates_jaccard():
     rng = random.Random(4)
     for share in (0.2, 0.5, 0.9):
