@@ -19,7 +19,9 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterable, Sequence
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Container, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +39,17 @@ RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that go on within a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: An open element of the key is closed by the start of one of these.
-_CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+#: Starts of these close an open p, wherever it is down to one of _SCOPES.
+_CLOSE_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_SCOPES = frozenset("applet button caption html marquee object table td template th".split())
+#: A start closes an item of these unless one of _WALLS is open within the item; address, div and p are no walls.
+_ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
+_WALLS = frozenset("applet article aside blockquote body button caption center col colgroup dd details dir dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup html li main marquee menu nav object ol pre search section summary table tbody td template tfoot th thead tr ul xmp".split())
+#: A start closes the outermost of these within the innermost table.
+_CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")} | dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th"))
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_DEEPEST = 200  # open elements whose features count; deeper ones are followed all the same
 
 
 @dataclass
@@ -84,11 +91,15 @@ def _of_text(text: str, linked: int, parent: str, index: int) -> list[str]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order."""
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order; with features of open elements at any depth (those in `known` only, if given)."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    inherited: frozenset[str] = frozenset()
+    stack: list[tuple[str, frozenset[str]]] = []  # open elements with their own features
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # by tag, where in the stack
+    outer: list[int] = []  # where in the stack: elements not inline, walls and scopes
+    walls: list[int] = []
+    scopes: list[int] = []
+    inherited: dict[str, int] = {}  # features of open elements, and how many of these have them
     parts: list[str] = []
     linked, in_link, dropped = 0, 0, 0
 
@@ -98,18 +109,50 @@ def blocks(page: str) -> list[Block]:
             whole = "".join(parts)
             text = " ".join((html.unescape(whole) if "&" in whole else whole).split())
             if text:
-                parent = next((t for t, _ in reversed(stack) if t not in INLINE), "none")
+                parent = stack[outer[-1]][0] if outer else "none"
                 out.append(Block(text, (*inherited, *_of_text(text, linked, parent, len(out)))))
             parts.clear()
         linked = 0
 
+    def push(tag: str, own: frozenset[str]) -> None:
+        nonlocal in_link, dropped
+        for places, member in ((depths[tag], True), (outer, tag not in INLINE), (walls, tag in _WALLS), (scopes, tag in _SCOPES)):
+            if member:
+                places.append(len(stack))
+        for f in own:
+            inherited[f] = inherited.get(f, 0) + 1
+        stack.append((tag, own))
+        in_link += tag == "a"
+        dropped += tag == "head"
+
     def pop_to(depth: int) -> None:
-        nonlocal inherited, in_link, dropped
-        for tag, _ in stack[depth:]:
+        nonlocal in_link, dropped
+        while len(stack) > depth:
+            tag, own = stack.pop()
+            for places in (depths[tag], outer, walls, scopes):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            for f in own:
+                if inherited[f] == 1:
+                    del inherited[f]
+                else:
+                    inherited[f] -= 1
             in_link -= tag == "a"
             dropped -= tag == "head"
-        del stack[depth:]
-        inherited = stack[-1][1] if stack else frozenset()
+
+    def implied(tag: str) -> None:
+        """Close what the start of a tag closes."""
+        if tag in _CLOSE_P and depths["p"] and depths["p"][-1] > (scopes[-1] if scopes else -1):
+            pop_to(depths["p"][-1])
+        if tag in _ITEMS and walls and stack[walls[-1]][0] in _ITEMS[tag]:
+            pop_to(walls[-1])
+        elif tag in _CELLS:
+            table = depths["table"][-1] if depths["table"] else -1
+            within = [x[k] for t in _CELLS[tag] if (x := depths[t]) and (k := bisect_right(x, table)) < len(x)]
+            if within:
+                pop_to(min(within))
+        elif tag == "option" and stack and stack[-1][0] == "option":
+            pop_to(len(stack) - 1)
 
     def text(run: str) -> None:
         nonlocal linked
@@ -129,27 +172,16 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if close:
-            for k in range(len(stack) - 1, max(len(stack) - _DEEPEST, 0) - 1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            if depths[tag]:
+                pop_to(depths[tag][-1])
             continue
         if tag == "body" and dropped:
-            pop_to(next(k for k, (t, _) in enumerate(stack) if t == "head"))
-        for k in range(len(stack) - 1, -1, -1):
-            open_ = stack[k][0]
-            if tag in _CLOSES.get(open_, ()):
-                pop_to(k)
-                break
-            if open_ not in INLINE:
-                break
+            pop_to(depths["head"][0])
+        implied(tag)
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in INLINE:
             continue
         own = _own(tag, attributes)
-        inherited = inherited | own if len(stack) < _DEEPEST else inherited
-        stack.append((tag, inherited))
-        in_link += tag == "a"
-        dropped += tag == "head"
+        push(tag, own if known is None else frozenset(f for f in own if f in known))
     text(page[at:])
     flush()
     return out
@@ -186,7 +218,7 @@ class Model:
         return out[::-1]
 
     def extract(self, page: str) -> str:
-        chain = blocks(page)
+        chain = blocks(page, self.weights)  # other features weigh nothing
         return " ".join(b.text for b, y in zip(chain, self.decode(chain), strict=True) if y)
 
 

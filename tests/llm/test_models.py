@@ -116,6 +116,28 @@ def test_pages():
         model.extract(odd)
 
 
+@pytest.mark.parametrize("inner", ["<ul>{}</ul>", "<div>{}</div>", "<dl>{}</dl>", "<table>{}</table>"])
+@pytest.mark.parametrize("n", [3, 100, 5000])
+def test_open_elements_at_any_depth(inner, n):
+    """Omitted end tags leave nothing open behind the end of the element around them, however many there are."""
+    item = {"<ul>{}</ul>": "<li><p>a", "<div>{}</div>": "<b>a<br>", "<dl>{}</dl>": "<dt><p>a<dd><p>b", "<table>{}</table>": "<tr><td><p>a<td><p>b"}[inner]
+    got = htmlmain.blocks("<article>" + inner.format(item * n) + "<p>end</article><footer>foot</footer>")
+    within = {"<ul>{}</ul>": {"in:article", "in:ul", "in:li", "in:p"}, "<div>{}</div>": {"in:article", "in:div"}, "<dl>{}</dl>": {"in:article", "in:dl", "in:p"}, "<table>{}</table>": {"in:article", "in:table", "in:tr", "in:td", "in:p"}}[inner]
+    ours = [{f for f in b.features if f.startswith("in:")} for b in got]
+    assert [b.text for b in got[-2:]] == ["end", "foot"] and ours[-2:] == [{"in:article", "in:p"}, {"in:footer"}]
+    assert len(got) == n * item.count(">a") + n * item.count(">b") + 2 and all(within <= x <= within | {"in:dt", "in:dd"} for x in ours[:-2])
+    deep = htmlmain.blocks("<div>" * n + "<aside class=comments>x</aside>" + "</div>" * n + "<p>y")
+    assert {"in:aside", "key:comments", "in:div"} <= set(deep[0].features) and "in:div" not in deep[1].features
+
+
+def test_nested_items():
+    """Starts close items of their own list or table only."""
+    nested = htmlmain.blocks("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><table><tr><td>f<table><tr><td>g</table>h<td>i</table><p>j<span>k<div>l")
+    ours = [(b.text, sorted(f for f in b.features if f.startswith("in:"))) for b in nested]
+    items, cells = ["in:li", "in:ul"], ["in:table", "in:td", "in:tr"]
+    assert ours == [*((t, items) for t in "abcde"), *((t, cells) for t in "fghi"), ("jk", ["in:p"]), ("l", ["in:div"])]
+
+
 def test_viterbi_against_all_labellings():
     rng = random.Random(0)
     for _ in range(20):
