@@ -6,6 +6,9 @@ run(spark, sf_dir) applies all of them to `documents`.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from seriesframe.llm.queries import PER_CLASS
 from seriesframe.llm.tables import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PART_CHARS = 8 << 20  # of the texts of one task's tokens, on average
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +52,43 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.arrange(mixing.mix(docs, mixing.tempered_weights(docs))).select(*COLUMNS)
 
 
+def numbered(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns, and position: 0, 1, ... file by file (as Spark numbers the files of a table) and row by row; rows are dealt and sorted by it.
+
+    Readers cut and pack files by size, so that the order in which rows are read says nothing.  Tables that don't come from files
+    are written first.  One count for each file comes to the driver.
+    """
+    try:
+        rows = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return numbered(spark, Workspace(spark, "ordered").save(docs, "docs"), columns)
+    sized = docs.select(F.col("_metadata.file_path").alias("_file"), F.coalesce("n_chars", F.lit(0)).alias("_c"))
+    files = sized.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c")).collect()
+
+    def place(path: str) -> tuple[str, list[tuple[int, str]]]:
+        """The folder, then digits as numbers: part-100000 comes after part-99999."""
+        folder, _, name = path.rpartition("/")
+        return folder, [(int(x or 0), y) for x, y in re.findall(r"(\d*)(\D*)", name)]
+
+    start, starts = 0, []
+    for r in sorted(files, key=lambda r: place(r["_file"])):
+        starts.append((r["_file"], start))
+        start += r["n"]
+    parts = min(max(1, sum(r["c"] for r in files) // PART_CHARS, spark.sparkContext.defaultParallelism), max(1, start), 20000)
+    share = max(1, -(-start // parts))
+    table = F.broadcast(spark.createDataFrame(starts, "_file string, _start long"))  # a row for each file
+    rows = rows.join(table, "_file").withColumn("position", F.col("_start") + F.col("_row")).select(*columns, "position")
+    part = F.expr(f"position div {share}").cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("position")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens, decoded_sha256 and exact of each document, in the order read."""
-    return spm.encode_column(docs.select("doc_id", "source", "text"), spm.load(spm.MODEL_PATH), keep=["doc_id", "source"], verify=True)
+    """doc_id, source, position, ids, n_tokens, decoded_sha256 and exact of each document, in the order of the table of mixed documents.
+
+    position is the document's place in that order; the rows come, and are written, in it.
+    """
+    keep = ["doc_id", "source", "position"]
+    return spm.encode_column(numbered(spark, docs, ("doc_id", "source", "text")), spm.load(spm.MODEL_PATH), keep=keep, verify=True)
 
 
 STAGES = (

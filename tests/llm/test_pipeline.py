@@ -45,6 +45,61 @@ def test_stages(spark, tmp_path):
     assert re.fullmatch("[0-9a-f]{64}", next(iter(tokens.values())).decoded_sha256) and zlib.crc32(b"0") % 4 in range(4)
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Settings under which Spark's reader doesn't keep the order of files, and writes several."""
+    new = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_tokens_keep_the_order_of_files(spark, tmp_path, small_splits):
+    import corpus_pipeline as cp
+
+    out, n = str(tmp_path / "mixed"), 0
+    for k, count in enumerate((3, 400, 1, 90, 0, 250)):  # files of unequal sizes, one of them with several splits
+        rows = [(i, f"text {i} " + str(zlib.crc32(str(i).encode())) * (1 + i % 20), "en", "a", 50) for i in range(n, n + count)]
+        n += count
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{out}/{k}")
+    os.makedirs(f"{out}/all")
+    for k in range(6):
+        for name in os.listdir(f"{out}/{k}"):
+            if name.startswith("part-"):
+                os.rename(f"{out}/{k}/{name}", f"{out}/all/part-{99997 + k:05d}-x-c000.snappy.parquet")
+    docs = spark.read.parquet(f"{out}/all")
+    got = cp.tokens(spark, docs, "").collect()
+    assert [(r.doc_id, r.position) for r in got] == [(i, i) for i in range(n)]
+    plain = spark.createDataFrame([(i, f"t{i}", "en", "a", 2) for i in range(100)], docs.schema)
+    assert [(r.doc_id, r.position) for r in cp.tokens(spark, plain, "").collect()] == [(i, i) for i in range(100)]
+
+
+def test_order_of_the_run(spark, small_splits, monkeypatch):
+    """run() against the schedule slot by slot; its first three stages are held by test_stages."""
+    import collections
+    import hashlib
+
+    import corpus_pipeline as cp
+    from seriesframe.llm import mixing
+    from tests.llm.test_models import slow_schedule
+
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[-2:])
+    got = cp.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by_source = collections.defaultdict(list)
+    for r in sorted(docs.select("doc_id", "source").collect(), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
+        by_source[r.source].append(r.doc_id)
+    turns, want, slots = collections.Counter(), [], slow_schedule(mixing.tempered_weights(docs))
+    while len(want) < len(got):
+        for s in slots:
+            want += by_source[s][8 * turns[s] : 8 * turns[s] + 8]
+            turns[s] += 1
+    assert len(by_source) > 1 and [r.doc_id for r in got] == want and [r.position for r in got] == list(range(len(want)))
+
+
 def test_repeated_ids(spark):
     import corpus_pipeline as cp
 
