@@ -4,8 +4,8 @@ A document's set holds its distinct runs of five words (A-Z lower-cased; fewer w
 documents are linked if 100 * |intersection| >= 75 * |union|; a component is what links connect.
 
 1. One pass hashes every text.  Equal sets become one class, so that copies are never expanded.
-2. Two collections of M = 20 half keys each, of three minima each, give M * M = 400 table keys by pairing (the tensor trick: 120 minima
-   instead of 2400).  A pair at similarity 0.75 shares no key with probability below 4e-5.  A key that only one class
+2. Two collections of M = 25 half keys each, of three minima each, give M * M = 625 table keys by pairing (the tensor trick: 150 minima
+   instead of 3750).  A pair at similarity 0.75 shares no key with probability below 2.4e-6.  A key that only one class
    holds can't link, and it is known from its halves: half keys are counted first, and only classes that share a
    half key in both collections form pairs, of shared halves only.
 3. In each table bucket, members are compared with two centres (its least and its largest id), never all with all.  Pairs whose sizes or parity
@@ -35,7 +35,7 @@ from seriesframe.llm import textcols as tc
 from seriesframe.llm.fingerprint import shingles, signatures
 from seriesframe.llm.tables import Workspace
 
-HALVES = 20  # half keys of each collection
+HALVES = 25  # half keys of each collection
 MINIMA = 3  # minima of a half key
 BITMAP = 16  # longs of a parity bitmap
 #: Ids that are broadcast to pick documents, at most (8 bytes each); beyond, documents are joined by a shuffle.

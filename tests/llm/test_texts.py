@@ -99,6 +99,13 @@ def test_substrings(spark, window, anchor, split, words):
         assert substring.digests(docs.limit(0), **options).count() == 0
 
 
+def test_banding_misses_few():
+    """A pair at similarity 0.75 has no half key in common in one of the two collections: as rarely as with 16 halves of 2 minima."""
+    none = (1 - 0.75**neardup.MINIMA) ** neardup.HALVES
+    assert 1 - (1 - none) ** 2 <= 1 - (1 - (1 - 0.75**2) ** 16) ** 2 < 4e-6
+    assert 2 * neardup.HALVES * neardup.MINIMA <= len(fingerprint._A)
+
+
 def test_index():
     rng = np.random.default_rng(0)
     for _ in range(20):
