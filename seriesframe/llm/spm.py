@@ -8,7 +8,8 @@ The state at a position is the best path that ends there.  For a unigram model,
 sum of its pieces' scores.  For a BPE model, the score of a step is 0 where the pair of the last piece and the
 next one is what merging their joined text gives, and minus infinity otherwise: a segmentation is the merges' own
 exactly where all its neighbouring pairs are, so one path at each position survives, and the ids are those of
-the merge algorithm.  Characters without a piece are spelled in bytes.
+the merge algorithm.  Characters without a piece are spelled in bytes.  Which pieces end at a position is a state too (of an
+automaton over the pieces), so no other lengths are tried.
 
 Defined cases: null and empty texts have no ids and decode to ""; texts of any length are encoded whole; repeated rows
 each give their row; spaces are kept, also at the ends; U+2581 in a text is read as a space, as the format
@@ -17,6 +18,7 @@ defines; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -24,6 +26,7 @@ import struct
 import sys
 import types
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,11 @@ from seriesframe.llm import textcols as tc
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and pairs that a worker remembers, at most.
-WORDS_KEPT, PAIRS_KEPT = 600_000, 1_000_000
+#: What a worker remembers, at most: bytes of words and their ids (about WORD_BYTES a word, besides its text), pairs of pieces, and steps outside the trie.
+BYTES_KEPT, PAIRS_KEPT, STEPS_KEPT = 160 << 20, 1_000_000, 500_000
+WORD_BYTES = 160
+#: Text bytes whose words are taken at once.
+PIECE_BYTES = 4 << 20
 
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -87,13 +93,10 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of the model goes over the end of a word")
         self.digest = hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.kind)).encode()).hexdigest()
-        tails: dict[str, set[int]] = {}
-        for p in self.ids:
-            tails.setdefault(p[-2:], set()).add(len(p))
-        #: Lengths of the pieces that end in two given characters, longest first.
-        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items() if len(t) == 2}
         alphabet = {c for p in self.ids for c in p}
         cut = "".join(chr(c) for c in range(32) if chr(c) not in alphabet)  # characters that no piece has part words as well
+        self.lines = "\n" in cut
+        self.parted = re.compile(f"[{re.escape(cut)}]").search if cut else lambda word: None
         cut = re.escape(cut)
         self.word = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+|[{cut}]+" if cut else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.unknown_score = min(self.scores) - 10.0
@@ -115,6 +118,9 @@ class Model:
             if steps:
                 self.left[i], self.right[i] = self.ids.get(steps[-1][0], -1), self.ids.get(steps[-1][1], -1)
         for i in sorted(self.left, key=lambda i: len(self.pieces[i])):
+            if not self.pieces[i].strip(MARK):
+                self.made[i] = None  # runs of spaces have one score, so that places and not ranks order their merges
+                continue
             parts = (self.made.get(self.left[i]), self.made.get(self.right[i]))
             if None in parts or max(parts) >= self.made[i]:
                 self.made[i] = None
@@ -214,80 +220,161 @@ def _spell(model: Model, piece: str) -> list[int]:
     return [own] if own is not None else [model.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
 
 
-def encode_words(model: Model, words: list[str], stable: dict[tuple[int, int], bool] | None = None) -> list[list[int]]:
-    """Ids of each of the sorted distinct words, in their order."""
-    stable = {} if stable is None else stable
-    bpe, ids, scores, tails = model.kind == _BPE, model.ids, model.scores, model.tails.get
-    get = ids.get
-    # forward states by position: last id (-1: none or spelled in bytes), length of the last step, score
-    last, step, best = [-1], [0], [0.0]
-    out: list[list[int]] = []
+class Suffixes:
+    """Which pieces end at a place, the longest first: an automaton over the trie of all pieces (Aho and Corasick).
+
+    next[s] has the steps of state s; those that aren't in the trie are added as they are met, STEPS_KEPT of them at most.
+    """
+
+    def __init__(self, model: Model):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.spare = STEPS_KEPT
+        for piece, i in model.ids.items():
+            s = 0
+            for c in piece:
+                if c not in self.next[s]:
+                    self.next[s][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(())
+                s = self.next[s][c]
+            if model.kind != _BPE or i in model.made:  # other pieces of a BPE model are never its choice
+                self.ends[s] = ((i, len(piece)),)
+        self.fail = [0] * len(self.next)
+        order = [0]
+        for s in order:  # by length, while next holds the trie only
+            for c, t in self.next[s].items():
+                order.append(t)
+                if s:
+                    f = self.fail[s]
+                    while f and c not in self.next[f]:
+                        f = self.fail[f]
+                    self.fail[t] = self.next[f].get(c, 0)
+                    self.ends[t] += self.ends[self.fail[t]]
+
+    def step(self, s: int, c: str) -> int:
+        """Where c leads from s, for steps that next hasn't yet."""
+        f = s
+        while f and c not in self.next[f]:
+            f = self.fail[f]
+        t = self.next[f].get(c, 0)
+        if self.spare:
+            self.next[s][c] = t
+            self.spare -= 1
+        return t
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    if b.startswith(a):
+        return len(a)
+    n = 0
+    for x, y in zip(a, b):  # noqa: B905
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _trace_back(model: Model, word: str, last: list[int], step: list[int], out: list[int]) -> int:
+    """Adds the word's ids to out, the last one first, and tells how many there are."""
+    before, end = len(out), len(word)
+    while end:
+        i = last[end]
+        if i >= 0:
+            out.append(i)
+        else:
+            out += reversed(_spell(model, word[end - 1]))
+        end -= step[end]
+    return len(out) - before
+
+
+def _encode_bpe(model: Model, words: list[str], pieces: Suffixes, stable: dict[int, bool]) -> tuple[list[int], list[int]]:
+    """One path survives at each place: that of the first piece, by length, which merging leaves beside the one before it."""
+    following, ends, known = pieces.next, pieces.ends, stable.get
+    # forward states by position: automaton, last id (-1: none, or spelled in bytes), length of the last step
+    state, last, step = [0], [-1], [0]
+    ids: list[int] = []
+    counts: list[int] = []
     previous = ""
     for word in words:
-        if bpe and word.startswith(MARK + MARK):
-            out.append(merge(model, word))  # runs of spaces have pieces of equal scores, for which the order of merges counts
-            continue
-        keep = 0
-        for a, b in zip(previous, word):  # noqa: B905
-            if a != b:
-                break
-            keep += 1
-        del last[keep + 1 :], step[keep + 1 :], best[keep + 1 :]
-        for end in range(keep + 1, len(word) + 1):
-            own, size, score = -1, 1, None
-            for n in (*tails(word[end - 2 : end], ()), 1) if end > 1 else (1,):
-                if n > end:
-                    continue
-                start = end - n
-                i = get(word[start:end])
-                if i is None:
-                    continue
-                if bpe:
-                    p = last[start]
-                    if start and step[start] == 0:
-                        continue
-                    if p >= 0:
-                        ok = stable.get((p, i))
-                        if ok is None:
-                            ok = stable[p, i] = model.stays(p, i)
-                        if not ok:
-                            continue
-                    elif i not in model.made:
+        keep = _shared(previous, word)
+        del state[keep + 1 :], last[keep + 1 :], step[keep + 1 :]
+        s, end = state[keep], keep
+        for c in word[keep:]:
+            end += 1
+            t = following[s].get(c)
+            s = pieces.step(s, c) if t is None else t
+            own, size = -1, 1  # without a piece: in bytes
+            for i, n in ends[s]:
+                p = last[end - n]
+                if p >= 0:
+                    pair = p << 32 | i
+                    ok = known(pair)
+                    if ok is None:
+                        ok = stable[pair] = model.stays(p, i)
+                    if not ok:
                         continue
-                    own, size, score = i, end - start, 0.0
-                    break
-                total = best[start] + scores[i]
-                if score is None or total > score:
-                    own, size, score = i, end - start, total
-            if word[end - 1] not in ids:
-                total = best[end - 1] + model.unknown_score
-                if score is None or not bpe and total > score:
-                    own, size, score = -1, 1, total
-            elif score is None:
-                size = 0  # no path ends here
+                own, size = i, n
+                break
+            state.append(s)
             last.append(own)
             step.append(size)
-            best.append(score if score is not None else float("-inf"))
-        path: list[int] = []
-        end = len(word)
-        while end:
-            if last[end] >= 0:
-                path.append(last[end])
-            else:
-                path += reversed(_spell(model, word[end - 1]))
-            end -= step[end]
-        path.reverse()
-        out.append(path)
+        counts.append(_trace_back(model, word, last, step, ids))
         previous = word
-    return out
+    return ids, counts
+
+
+def _encode_unigram(model: Model, words: list[str], pieces: Suffixes) -> tuple[list[int], list[int]]:
+    following, ends, scores, ids, unknown = pieces.next, pieces.ends, model.scores, model.ids, model.unknown_score
+    state, last, step, best = [0], [-1], [0], [0.0]
+    back: list[int] = []
+    counts: list[int] = []
+    previous = ""
+    for word in words:
+        keep = _shared(previous, word)
+        del state[keep + 1 :], last[keep + 1 :], step[keep + 1 :], best[keep + 1 :]
+        s, end = state[keep], keep
+        for c in word[keep:]:
+            end += 1
+            t = following[s].get(c)
+            s = pieces.step(s, c) if t is None else t
+            own, size, score = -1, 1, best[end - 1] + unknown if c not in ids else float("-inf")
+            for i, n in ends[s]:
+                total = best[end - n] + scores[i]
+                if total > score:
+                    own, size, score = i, n, total
+            state.append(s)
+            last.append(own)
+            step.append(size)
+            best.append(score)
+        counts.append(_trace_back(model, word, last, step, back))
+        previous = word
+    return back, counts
+
+
+def encode_words(model: Model, words: list[str], pieces: Suffixes | None = None, stable: dict[int, bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the ids of each of the sorted distinct words one after another, in their order, and where those of each word end."""
+    pieces = Suffixes(model) if pieces is None else pieces
+    back, counts = _encode_bpe(model, words, pieces, {} if stable is None else stable) if model.kind == _BPE else _encode_unigram(model, words, pieces)
+    sizes = np.array(counts, np.int64)
+    ends = np.cumsum(sizes)
+    ids = np.array(back, np.int32)
+    return ids[np.repeat(2 * ends - sizes - 1, sizes) - np.arange(len(ids))], ends  # each word's run the other way round
 
 
 class Encoder:
-    """Ids of marked words, remembered within bounds over the batches and tasks of a worker."""
+    """Ids of marked words, remembered within bounds over the batches and tasks of a worker.
+
+    A word is known by a key: what follows its mark; with several marks, as many spaces and the rest; without one, MARK and the rest.
+    A line feed that parts words is a key of its own.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.pieces = Suffixes(model)
+        gc.freeze()  # the automaton's many small tables stay for the worker's life
+        self.stable: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -295,37 +382,65 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[k]: where word k-1 ends in flat
         self.count = 0
+        self.chars = 0
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, keys: set[str]) -> None:
         if len(self.stable) > PAIRS_KEPT:
             self.stable.clear()
-        order = sorted(words)
-        encoded = encode_words(self.model, order, self.stable)
-        total = sum(map(len, encoded))
-        at = int(self.ends[self.count])
+        model, parted = self.model, self.model.parted
+        order = list(keys)
+        marked = [k.replace(" ", MARK) if k[:1] == " " else k[1:] if k[:1] == MARK else k if k == "\n" and model.lines else MARK + k for k in order]
+        several = {k: model.word(w) for k, w in enumerate(marked) if parted(w) or not w}
+        if several:
+            marked = [w for k, w in enumerate(marked) if k not in several]
+            order = [key for k, key in enumerate(order) if k not in several] + [order[k] for k in several]
+        words = sorted({*marked, *(w for ws in several.values() for w in ws)})
+        ids, ends = encode_words(model, words, self.pieces, self.stable)
+        number = dict(zip(words, range(len(words)), strict=True))
+        pick = np.fromiter(map(number.__getitem__, chain(marked, chain.from_iterable(several.values()))), np.int64)
+        starts = np.concatenate([[0], ends])[pick]
+        lengths = ends[pick] - starts
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        total, at = int(sums[-1]), int(self.ends[self.count])
+        picked = ids[np.repeat(starts - sums[:-1], lengths) + np.arange(total)]
+        last = np.cumsum([1] * len(marked) + [len(ws) for ws in several.values()])  # how many words up to the end of each key
         while len(self.flat) < at + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.ends) < self.count + len(order) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[at : at + total] = np.fromiter((i for e in encoded for i in e), np.int32, total)
-        self.ends[self.count + 1 : self.count + 1 + len(order)] = at + np.cumsum([len(e) for e in encoded])
+        self.flat[at : at + total] = picked
+        self.ends[self.count + 1 : self.count + 1 + len(order)] = at + sums[last]
         self.index.update(zip(order, range(self.count, self.count + len(order)), strict=True))
         self.count += len(order)
+        self.chars += sum(map(len, order))
+
+    def _keys(self, text: str) -> list[str]:
+        """Keys of a text's words."""
+        text = text.replace(MARK, " ")
+        if self.model.dummy_prefix:
+            cut = text.replace("\n", f" \n {MARK}") if self.model.lines else text
+            if "  " not in cut and cut[:1] != " " and cut[-1:] != " ":
+                return cut.split(" ")
+            text = " " + text
+        out = []
+        for w in self.model.word(text.replace(" ", MARK)):
+            rest = w.lstrip(MARK)
+            marks = len(w) - len(rest)
+            out.append(rest if marks == 1 else " " * marks + rest if marks else MARK + rest)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts."""
-        cut = self.model.word
-        prefix = MARK if self.model.dummy_prefix else ""
-        split = [cut(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in split for w in ws}
-        if len(self.index) + len(new) > WORDS_KEPT:
+        if len(self.index) * WORD_BYTES + self.chars + self.flat.nbytes > BYTES_KEPT:
             self._forget()
-        new.difference_update(self.index)
-        if new:
-            self._learn(new)
-        sizes = np.array([len(ws) for ws in split], np.int64)
-        get = self.index.__getitem__
-        at = np.fromiter((k for ws in split for k in map(get, ws)), np.int64, int(sizes.sum()))
+        split = [self._keys(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        keys = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self._learn({keys[k] for k in unknown})
+            at[unknown] = [self.index[keys[k]] for k in unknown]
         starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
@@ -338,7 +453,7 @@ def _spelling(model: Model) -> tuple[np.ndarray, np.ndarray]:
         spelled = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, k in zip(model.pieces, model.kinds, strict=True)]
         return np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
 
-    return _cache(f"spelling-{model.digest}", make)
+    return _cache("spelling", model.digest, make)
 
 
 def decode_all(model: Model, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -356,12 +471,12 @@ def decode(model: Model, ids) -> str:
     return decode_all(model, np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
-def _cache(name: str, make):
-    """A value kept for the life of the Python worker; the functions here travel by value and can't keep it themselves."""
+def _cache(name: str, of: str, make):
+    """A value kept for the life of the Python worker, until it is wanted of another model; the functions here travel by value and can't keep it."""
     home = sys.modules.setdefault("_seriesframe_worker_cache", types.ModuleType("_seriesframe_worker_cache"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, name, (None, None))[0] != of:
+        setattr(home, name, (of, make()))
+    return getattr(home, name)[1]
 
 
 def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, ids_col: str = "ids", verify: bool = False) -> DataFrame:
@@ -374,10 +489,10 @@ def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: li
 
     def run(batches):
         model = shared.value
-        encoder = _cache(f"encoder-{model.digest}", lambda: Encoder(model))
+        encoder = _cache("encoder", model.digest, lambda: Encoder(model))
         for batch in batches:
             column = tc.column(batch, text)
-            for a, b in tc.pieces(column):
+            for a, b in tc.pieces(column, PIECE_BYTES):
                 texts = column.slice(a, b - a).to_pylist()
                 ids, offsets = encoder.encode(texts)
                 arrays = [*(batch.column(c).slice(a, b - a) for c in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]

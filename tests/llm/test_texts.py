@@ -195,6 +195,39 @@ def test_tokens(spark):
     assert spm.round_trip(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isfile(spm.MODEL_PATH), reason="no tokenizer files")
+def test_tokens_of_many_texts():
+    """10,000 whole documents, runs of spaces, text without spaces, and a very long text, against the library."""
+    import pyarrow.parquet as pq
+
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=spm.MODEL_PATH)
+    encoder, rng = spm.Encoder(spm.load()), random.Random(2)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()[:10_000]] if os.path.isdir("/root/testdata/sf0.1") else []
+    texts += [" " * k + "the x" + " " * k + "1" for k in range(80)] + ["".join(rng.choice(["the", " ", "  ", " " * 9, "ing", "\n", "\t", "▁", "é"]) for _ in range(60)) for _ in range(500)]
+    texts += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000)), "ab" * 5000, " " * 5000]
+    for a in range(0, len(texts), 2000):
+        part = texts[a : a + 2000]
+        ids, at = encoder.encode(part)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == library.encode(part)
+    whole = " ".join(texts[:800])  # one text of a few MB
+    ids, at = encoder.encode([whole, ""])
+    assert at[1] == at[2] == len(ids) and ids.tolist() == library.encode(whole)
+
+
+@pytest.mark.skipif(not os.path.isfile(spm.MODEL_PATH), reason="no tokenizer files")
+def test_tokens_with_little_memory(monkeypatch):
+    """Forgetting words, pairs and steps changes nothing."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeinorst ,.") for _ in range(200)) for _ in range(60)]
+    model = spm.load()
+    want = [spm.Encoder(model).encode([t])[0].tolist() for t in texts[:20]]
+    monkeypatch.setattr(spm, "BYTES_KEPT", 100)
+    monkeypatch.setattr(spm, "PAIRS_KEPT", 10)
+    monkeypatch.setattr(spm, "STEPS_KEPT", 5)
+    small = spm.Encoder(model)
+    assert [small.encode([t])[0].tolist() for t in texts[:20]] == want and len(small.index) < 100 and small.pieces.spare == 0
+
+
 def test_unigram_against_all_segmentations():
     """The same search with summed scores, on a small model."""
     pieces = ["<unk>"] + [f"<0x{b:02X}>" for b in range(256)] + ["▁", "a", "b", "ab", "▁a", "ba", "aba", "bb"]
@@ -214,6 +247,7 @@ def test_unigram_against_all_segmentations():
         return max(options)
 
     words = sorted({"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(60)})
-    for w, ids in zip(words, spm.encode_words(model, words), strict=True):
+    flat, ends = spm.encode_words(model, words)
+    for w, ids in zip(words, np.split(flat, ends[:-1]), strict=True):
         score = sum(model.scores[i] if model.kinds[i] == 1 else model.unknown_score for i in ids)
         assert abs(score - best(w)[0]) < 1e-9 and spm.decode(model, ids) == w.replace("▁", " ")[1:]
