@@ -10,7 +10,7 @@ The labelled pages come from `labelled_pages`, which writes pages in many layout
 label; other labelled pages can be given to `train`.
 
 Defined cases: a null or empty html has no text ("" and 0); markup that is cut, badly nested or unclosed is read
-as browsers do in the main; a page without any article block gives ""; very long pages are read whole;
+as browsers do in the main (an unclosed head ends with its last head element); a page without any article block gives ""; very long pages are read whole;
 repeated rows each give their row; an empty table gives an empty result; other columns don't take part.
 """
 
@@ -33,12 +33,14 @@ from seriesframe.llm import textcols as tc
 
 # ---- blocks -------------------------------------------------------------------------------------------
 
-#: Elements whose content is never text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "button", "datalist", "audio", "video")
+#: Elements whose content is never text of the page: code, pictures and sounds, and what forms hold.
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "datalist", "audio", "video")
+#: Starts of other elements than these, and text, end a head that isn't closed.
+_HEAD = frozenset("base basefont bgsound head html link meta".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that go on within a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button canvas cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mrow ms msqrt mstyle msub msubsup msup mtext munder object output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Starts of these close an open p, wherever it is down to one of _SCOPES.
 _CLOSE_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 _SCOPES = frozenset("applet button caption html marquee object table td template th".split())
@@ -47,7 +49,14 @@ _ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozense
 _WALLS = frozenset("applet article aside blockquote body button caption center col colgroup dd details dir dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup html li main marquee menu nav object ol pre search section summary table tbody td template tfoot th thead tr ul xmp".split())
 #: A start closes the outermost of these within the innermost table.
 _CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")} | dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th"))
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S | re.I)
+_INSIDE = r"(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"  # of a tag: a sign > in quotes doesn't end it
+_TOKEN = re.compile(
+    r"<!--(?:.*?-->|.*)"
+    r"|<svg(?=[\s/])[^>]*+(?<=/)>"  # without content
+    r"|<(" + "|".join(RAW) + r")(?=[\s/>])(?:" + _INSIDE + r">|[^>]*+>).*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)(" + _INSIDE + r")>|<[!?][^>]*+>",
+    re.S | re.I,
+)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -73,7 +82,7 @@ def _own(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
-_STARTS = tuple("© copyright|all rights|cookie|we use cookies|subscribe|sign up|log in|login|share|advert|sponsor|related|read more|privacy|terms|follow us|reply|leave a comment|posted by|home".split("|"))
+_SAID = tuple("© copyright|all rights|cookie|we use cookies|subscribe|sign up|log in|login|share|advert|sponsor|related|read more|privacy|terms|follow us|reply|leave a comment|posted by|home".split("|"))
 
 
 def _of_text(text: str, linked: int, parent: str, index: int) -> list[str]:
@@ -82,8 +91,9 @@ def _of_text(text: str, linked: int, parent: str, index: int) -> list[str]:
     share = linked / len(text)
     out.append("links:" + ("0" if not linked else "some" if share < 0.3 else "half" if share < 0.8 else "all"))
     out.append("end:stop" if text[-1] in ".!?…:;\"”»" else "end:none")
-    low = text[:200].lower()
-    out += [f"says:{s}" for s in _STARTS if s in low]
+    low = text.lower()
+    says = "says" if words < 20 else "tells"
+    out += [f"{says}:{s}" for s in _SAID if s in low]
     if text.count("|") + text.count("»") + text.count("·") >= 2 and words < 25:
         out.append("bars")
     if index == 0:
@@ -122,7 +132,7 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
         for f in own:
             inherited[f] = inherited.get(f, 0) + 1
         stack.append((tag, own))
-        in_link += tag == "a"
+        in_link += tag in ("a", "button")
         dropped += tag == "head"
 
     def pop_to(depth: int) -> None:
@@ -137,7 +147,7 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
                     del inherited[f]
                 else:
                     inherited[f] -= 1
-            in_link -= tag == "a"
+            in_link -= tag in ("a", "button")
             dropped -= tag == "head"
 
     def implied(tag: str) -> None:
@@ -156,7 +166,9 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
 
     def text(run: str) -> None:
         nonlocal linked
-        if run and not dropped:
+        if dropped and not run.isspace():
+            pop_to(depths["head"][0])
+        if not dropped:
             parts.append(run)
             linked += len(run) if in_link else 0
 
@@ -175,14 +187,15 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             if depths[tag]:
                 pop_to(depths[tag][-1])
             continue
-        if tag == "body" and dropped:
+        if dropped and tag not in _HEAD:
             pop_to(depths["head"][0])
         implied(tag)
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in INLINE:
             continue
         own = _own(tag, attributes)
         push(tag, own if known is None else frozenset(f for f in own if f in known))
-    text(page[at:])
+    if at < len(page):
+        text(page[at:])
     flush()
     return out
 
@@ -284,7 +297,10 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
         kind = rng.random()
         if kind < 0.1:  # short or odd paragraphs belong to the article all the same
             return rng.choice([word().capitalize() + ".", sentence(1, 4), phrase(2, 8), " ".join(word() + rng.choice(["***", "###", "$$$", "%%%"]) for _ in range(8)), " | ".join(word() for _ in range(8)), phrase(4, 10).upper() + "!!"])
-        return " ".join(sentence() for _ in range(rng.randint(1, 7)))
+        whole = [sentence() for _ in range(rng.randint(1, 7))]
+        if rng.random() < 0.15:  # prose may speak of anything
+            whole.insert(rng.randrange(len(whole) + 1), f"{phrase(3, 9).capitalize()} {rng.choice(_SAID[1:])} {phrase(6, 14)}.")
+        return " ".join(whole)
 
     link = lambda t: f'<a href="/{word()}">{t}</a>'
     links = lambda a, b: "".join(f"<li>{link(phrase(1, 2))}</li>" for _ in range(rng.randint(a, b)))

@@ -314,3 +314,59 @@ def test_ogg(spark):
     broken = spark.createDataFrame([(1, bytearray(b"nonsense")), (2, None)], "doc_id long, media binary")
     assert [r.payload for r in ogg.read_media(broken, on_error="null").collect()] == [None, None]
     assert ogg.digests(docs_of(spark, ODD).limit(0)).count() == 0
+
+
+HAND_PAGES = [  # pages written by hand, and their main text
+    ("""<!doctype html><html lang=en><head><title>Tea</title><meta charset=utf-8></head><body class="home page"><header class="site-header"><a href="/">The Daily Leaf</a><nav><ul><li><a href="/a">News</a></li><li><a href="/b">Shop</a></li></ul></nav></header>
+<main><article class="post"><h1>How to brew green tea</h1><p>Green tea should not be brewed with boiling water. Let the kettle cool for a few minutes.</p><p>Use about two grams of leaves for each cup &amp; steep for two minutes.</p><ul><li>Warm the pot first.</li><li>Pour slowly.</li></ul></article></main>
+<aside class="sidebar"><h3>Popular</h3><ul><li><a href="/x">Ten best mugs</a></li></ul></aside><footer><p>Copyright 2020 The Daily Leaf. All rights reserved.</p></footer></body></html>""",
+     "How to brew green tea Green tea should not be brewed with boiling water. Let the kettle cool for a few minutes. Use about two grams of leaves for each cup & steep for two minutes. Warm the pot first. Pour slowly."),
+    ("""<html><body><div id="nav"><a href="/">Start</a> | <a href="/map">Map</a> | <a href="/contact">Contact</a></div><div id="content"><h2>The old bridge</h2><p>The bridge was built in 1871 by two brothers. It fell in the flood of 1910 and was built again a year later.</p>
+<blockquote>Nobody had seen such water before.</blockquote><p>Today, it carries the road to the mill, and its terms of use and privacy are a matter of the town, which says so on a sign at home and abroad.</p></div><div id="footer">&copy; Town archive</div></body></html>""",
+     "The old bridge The bridge was built in 1871 by two brothers. It fell in the flood of 1910 and was built again a year later. Nobody had seen such water before. Today, it carries the road to the mill, and its terms of use and privacy are a matter of the town, which says so on a sign at home and abroad."),
+    ("""<body><div class="cookie-banner"><p>We use cookies to make this site better. <a href="/c">Learn more</a></p></div><nav class="menu"><a href="/">Home</a></nav><article><h1>A short note on maps</h1><p>Maps lie, as every <em>map maker</em> knows.</p><div class="ad">Buy two maps, get one free!</div><p>The size of a country on paper says little about its size on the ground.</p>
+<section class="comments"><h3>Comments</h3><div class="comment"><p>Great note, thanks!</p></div><div class="comment"><p>I disagree with the second sentence.</p></div></section></article><form action="/s"><label>Search</label><input name=q><button>Go</button></form></body>""",
+     "A short note on maps Maps lie, as every map maker knows. The size of a country on paper says little about its size on the ground."),
+    ("""<html><head><title>x</title><script>var a = "<p>not text</p>";</script></head><body><header><h1>Garden blog</h1></header><div class="entry-content"><p>Slugs eat young lettuce at night, so water in the morning.</p><p>A ring of sand keeps them away for some time.</p><table><tr><th>Week</th><th>Slugs</th></tr><tr><td>First</td><td>Forty</td></tr></table></div>
+<div class="related-posts"><h3>Related</h3><ul><li><a href="/1">Snails</a></li><li><a href="/2">Worms</a></li></ul></div><div class="newsletter"><p>Subscribe to our letter.</p></div><footer>All rights reserved</footer></body></html>""",
+     "Slugs eat young lettuce at night, so water in the morning. A ring of sand keeps them away for some time. Week Slugs First Forty"),
+]
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    from seriesframe.llm import htmlmain
+
+    return htmlmain.default_model()
+
+
+def test_pages_by_hand(page_model):
+    """Measured as words found and words that should be: both shares over all pages."""
+    import collections
+
+    common = got = want = 0
+    for page, text in HAND_PAGES:
+        a, b = collections.Counter(page_model.extract(page).split()), collections.Counter(text.split())
+        common, got, want = common + (a & b).total(), got + a.total(), want + b.total()
+    assert common / got > 0.97 and common / want > 0.97
+
+
+@pytest.mark.parametrize("inner,want", [
+    ("<head><title>T</title><article><p>All of this page is text.</p></article>", "All of this page is text."),  # an unclosed head
+    ("<head><meta charset=utf-8><p>All of this page is text, all of it.</p>", "All of this page is text, all of it."),
+    ("<article><p>First it plays.</p><video-player src=x></video-player><button-row>Then it ends well.</button-row><title-bar></title-bar><p>Last words here.</p></article>", "First it plays. Then it ends well. Last words here."),
+    ("<article><p>A picture <svg/> of it.</p><svg viewBox='0 0 1 1' /><p>More words follow here.</p></article>", "A picture of it. More words follow here."),
+    ("<article><p>The equation <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds for <object>all</object> of <canvas>us</canvas>, <button>really</button>.</p></article>", "The equation x=1 holds for all of us, really."),
+    ("<article><p>One <script data-x='a>b'>var x = 1 > 0;</script > two and three.</p><style>p > a {}</style\n><p>Four words are here.</p></article>", "One two and three. Four words are here."),
+    ("<div>" * 5000 + "<article><p>Deep down there is a text.</p></article>" + "</div>" * 5000 + "<footer>All rights reserved</footer>", "Deep down there is a text."),
+    ("<article><p>Text before it.</p>" + "<ul><li><p>item of a list that is long enough" * 300 + "</ul></article><footer><p>All rights reserved</p></footer>", "Text before it." + " item of a list that is long enough" * 300),
+])
+def test_markup_loses_nothing(page_model, inner, want):
+    assert page_model.extract(inner) == want
+
+
+def test_blocks_speak_as_a_whole(page_model):
+    from seriesframe.llm import htmlmain
+
+    late = htmlmain.blocks("<p>" + "word " * 60 + "we use cookies</p>")[0].features
+    assert "tells:we use cookies" in late and "says:we use cookies" in htmlmain.blocks("<p>Here we use cookies</p>")[0].features
