@@ -40,10 +40,16 @@ class Workspace:
     def last(self, frame: DataFrame, name: str = "result") -> DataFrame:
         """save(), and delete all other tables of this workspace: nothing reads them any more."""
         saved = self.save(frame, name)
-        jvm, kept = self.spark._jvm, f"{self.count:03d}-{name}"
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        self.clear(keep=f"{self.count:03d}-{name}")
+        return saved
+
+    def clear(self, keep: str | None = None) -> None:
+        """Delete the tables of this workspace, but for one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if keep is None:
+            files.delete(folder, True)
+            return
         for status in files.listStatus(folder):
-            if status.getPath().getName() != kept:
+            if status.getPath().getName() != keep:
                 files.delete(status.getPath(), True)
-        return saved

@@ -87,9 +87,77 @@ def test_classifier_edges(spark, kind):
     assert kind.score(docs.limit(0), model).count() == 0
 
 
+def slow_bins(text):
+    """Hashed n-grams of a text, one by one."""
+    out = set()
+    low = text.lower()
+    for n in toxicity.SIZES:
+        for i in range(len(low) - n + 1):
+            h = n
+            for c in low[i : i + n]:
+                h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+                h ^= h >> 15
+            out.add((h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    """Counts, ratios, chi-squared and the fitted weights from plain loops over n-grams; the fit's gradient vanishes."""
+    rng = np.random.default_rng(1)
+    words = ["alpha", "beta", "Gamma", "dört", "fünf", "sei", "hept", "octo"]
+    texts = [(" ".join(rng.choice(words, rng.integers(3, 9))) + (" vile scum" if k % 3 == 0 and rng.random() < 0.8 else ""), int(k % 3 == 0)) for k in range(90)] + [("", 0), ("ab", 1)]
+    model = toxicity.fit(spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(texts)], "doc_id long, text string, label int"), least=2, significance=3.0, penalty=0.01, steps=200)
+    sets, y = [slow_bins(t) for t, _ in texts], np.array([y for _, y in texts])
+    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    weights, want = np.zeros(1 << toxicity.BITS), {}
+    for b in set().union(*sets):
+        one, zero = (sum(b in s for s, label in zip(sets, y, strict=True) if label == c) for c in (1, 0))
+        table = np.array([[zero, one], [n[0] - zero, n[1] - one]])
+        expected = table.sum(0) * table.sum(1)[:, None] / table.sum()
+        chi = ((table - expected) ** 2 / np.maximum(expected, 1e-12)).sum() if table.sum(1).all() else 0
+        if zero + one >= 2 and chi > 3:
+            want[b] = np.log((one + 1) / (n[1] + 2)) - np.log((zero + 1) / (n[0] + 2))
+    assert set(np.flatnonzero(model.weights)) <= set(want) and 10 < len(want)
+    bins = sorted(want)
+    r = np.array([want[b] for b in bins])
+    x = np.array([[b in s for b in bins] for s in sets]) * r
+    w = model.weights[bins].astype(float) / r
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
+    g = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]) * (p - y)
+    assert np.abs(x.T @ g + 0.01 * w).max() < 1e-3 and abs(g.sum()) < 1e-3 and np.abs(w).max() > 0.1
+    weights[bins] = w * r
+    scored = toxicity.score(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for row in scored:
+        z = sum(weights[b] for b in sets[row.doc_id]) + model.intercept
+        assert abs(row.score - 1 / (1 + np.exp(-z))) < 1e-4 and row.predicted == (row.score >= 0.5)
+
+
+def test_gradient_sums():
+    rng = np.random.default_rng(2)
+    dense = rng.random((12, 7)) < 0.4
+    rows, cols = np.nonzero(dense)
+    y, weight, scaled, b = rng.integers(0, 2, 12).astype(float), rng.random(12), rng.normal(size=7), 0.3
+    loss = lambda s, c: sum(weight[i] * (np.log1p(np.exp(z := dense[i] @ s + c)) - y[i] * z) for i in range(12))
+    got = toxicity.sums(rows, cols, y, scaled, b, weight)
+    step = 1e-6
+    slopes = [(loss(scaled, b + step) - loss(scaled, b - step)) / 2 / step] + [(loss(scaled + e, b) - loss(scaled - e, b)) / 2 / step for e in np.eye(7) * step]
+    assert abs(got[0] - loss(scaled, b)) < 1e-9 and np.allclose(got[1:], slopes, atol=1e-6)
+
+
+def test_long_texts_have_all_their_ngrams(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdé f"), 500))
+    array = pa.array([text], pa.large_string())
+    whole = toxicity.distinct(array)
+    monkeypatch.setattr(toxicity, "SLICE", 30)
+    row, bins = toxicity.distinct(array)
+    assert set(bins) == set(whole[1]) == slow_bins(text) and not row.any()
+
+
 def test_labels_are_bounded(spark):
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    docs = docs.union(docs)  # repeated rows give one training row
     rows = training.labelled(docs, labels, label="toxic", per_class=10, skip=(5, 0)).collect()
     assert len(rows) == 20 and sum(r.label for r in rows) == 10 and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
 
