@@ -2,12 +2,14 @@
 
 A text's shingles are its runs of five words (fewer words: the whole sequence as one).  Slot i of the
 signature is the least value of a random universal hash (a_i x + b_i) mod 2**64, top 32 bits, over all
-shingles; the likeness of two fingerprints is the share of equal slots, an estimate of the Jaccard similarity.
+shingles; the likeness of two fingerprints is the share of equal slots, an estimate of the Jaccard similarity.  Bands of signatures are
+joined in Spark, and the Jaccard similarities of what they bring together are verified on full sets (matches).
 
 Defined cases: a null text counts as empty; a text without words has a fingerprint of its own kind, with likeness 1 to
 its like and 0 to all others; texts of any length are hashed whole, in pieces of bounded memory; repeated
 rows each give their row; documents with equal ids follow each other in the order of their texts' digests;
-null ids come last; the next document of a single row is that row itself; an empty table gives an empty result.
+null ids come last and match nothing; the next document of a single row is that row itself; an empty table gives an empty result; other
+columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.llm import textcols as tc
+from seriesframe.llm.tables import Workspace, pick
 
 WORDS = 5
 SLOTS = 64
+BAND = 3  # slots of a band
+PARTS = 1_000_000  # ranges of ids, at most (8 MB of cut points): 8 TB in parts of 8 MB
 _PIECE = 1 << 16  # shingles hashed at once: work areas that fit a cache
 
 _rng = np.random.default_rng(20240601)
@@ -106,29 +111,86 @@ def with_signature(docs: DataFrame, *, text: str = "text", slots: int = SLOTS, s
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(signature_col, T.ArrayType(T.LongType()))]))
 
 
-def near_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, band: int = 4, threshold: float = 0.75) -> DataFrame:
-    """(a, b, similarity) with a < b: distinct texts joined by equal bands, with the Jaccard similarity of their full shingle sets.
+def _hash_all(slots: int, band: int):
+    """Per text: digest, number of distinct shingles, a 128-bit hash of their set, and the keys of the signature's bands."""
 
-    Equal shingle sets are first joined into one class, named by its least id, so that copies aren't expanded into pairs.  (For one row per
-    document with its class, at scale, see neardup.)
-    """
-
-    def sets(batches):
+    def run(batches):
         for batch in batches:
-            column, out = tc.column(batch, "_t"), []
-            for a, b in tc.pieces(column):
-                h, first = shingles(*tc.raw(column.slice(a, b - a)))
-                out += [np.unique(h[i:j]).astype(np.int64) for i, j in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("signature"), pa.array(out, pa.list_(pa.int64()))], ["id", "signature", "shingles"])
-
-    rows = with_signature(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_t")).where("id is not null"), text="_t", slots=slots)
-    rows = rows.mapInArrow(sets, "id long, signature array<long>, shingles array<long>").where(F.size("shingles") > 0)
-    rows = rows.groupBy("shingles").agg(F.min("id").alias("id"), F.any_value("signature").alias("signature"))
-    bands = rows.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(slots // band - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * band + 1, band)))).alias("band", "key"))
-    pairs = bands.alias("x").join(bands.alias("y"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("shingles").alias("_a")), "a").join(rows.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b")
-    both = both.withColumn("_n", F.size(F.array_intersect("_a", "_b")))
-    return both.select("a", "b", (F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n"))).alias("similarity")).where(F.col("similarity") >= threshold)
+            text = tc.column(batch, "_t")
+            for a, b in tc.pieces(text, 1 << 20):
+                part = text.slice(a, b - a)
+                h, first = distinct(*shingles(*tc.raw(part)))
+                one, two = set_hashes(h, first)
+                s = signatures(h, first, slots).astype(np.uint64)
+                keys = np.zeros((b - a, slots // band), np.uint64)
+                with np.errstate(over="ignore"):
+                    keys += np.arange(slots // band, dtype=np.uint64)
+                    for k in range(band):
+                        keys = (keys ^ s[:, k : k + band * keys.shape[1] : band]) * np.uint64(tc.BASE)
+                    keys = tc.mix(keys).view(np.int64)
+                digests = [hashlib.md5(t.encode()).hexdigest() for t in part.to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(digests), pa.array(np.diff(first)), pa.array(one), pa.array(two), lists], ["id", "h", "n", "h1", "h2", "bands"])
+
+    return run
+
+
+def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each row of shingles()."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    h, row = hashes[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(len(first)))
+
+
+def set_hashes(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's set (distinct()): sums of its mixed members."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(tc.mix(hashes ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x1234567, 0x9ABCDEF0FEDC)]
+        return tuple((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
+
+
+def _sets(batches):
+    for batch in batches:
+        text = tc.column(batch, "_t")
+        for a, b in tc.pieces(text):
+            h, first = distinct(*shingles(*tc.raw(text.slice(a, b - a))))
+            one, two = set_hashes(h, first)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["h1", "h2", "s"])
+
+
+def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, band: int = BAND, percent: int = 75) -> DataFrame:
+    """(doc_id, h, match_id, match_jaccard): for each document with a match, the least id among its matches, and the Jaccard similarity.
+
+    h is the md5 of the text.  Texts with equal shingle sets are one class and match its least id, with similarity 1.  Signatures are cut into bands;
+    classes with an equal band are candidates of the class with the least id among them, never all of all, so that a band's bucket costs as much
+    as it has members.  Candidates match if the Jaccard similarity of their full sets is percent or more.  A pair at 0.75 shares no band
+    of three slots of 64 with probability 1e-5.  Documents without words or id, and those that are the least of all they match, aren't in the result.
+    """
+    work = Workspace(docs.sparkSession, "matches")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where("id is not null")
+    hashed = work.save(rows.mapInArrow(_hash_all(slots, band), "id long, h string, n long, h1 long, h2 long, bands array<long>").where("n > 0"), "hashed")
+    classes = work.save(hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    me = F.struct(F.col("rep").alias("id"), "h1", "h2", "n")
+    keyed = classes.select(me.alias("x"), F.explode("bands").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("x").alias("c"), F.max("x").alias("d")).where("c < d").select("key", "c")
+    near = F.least("x.n", "c.n") * 100 >= F.greatest("x.n", "c.n") * percent
+    pairs = keyed.join(centres, "key").where(F.col("x") != F.col("c")).where(near).select("x", "c").distinct()
+    pairs = work.save(pairs.select("x.h1", "x.h2", F.col("x.id").alias("xi"), F.col("c.h1").alias("k1"), F.col("c.h2").alias("k2"), F.col("c.id").alias("ci")), "pairs")
+    wanted = work.save(pairs.select(F.explode(F.array("xi", "ci")).alias("id")).distinct(), "wanted")
+    sets = pick(rows, wanted).mapInArrow(_sets, "h1 long, h2 long, s array<long>").groupBy("h1", "h2").agg(F.first("s").alias("s"))
+    sets = work.save(sets, "sets")
+    both = pairs.join(sets.withColumnRenamed("s", "_a"), ["h1", "h2"]).join(sets.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("s").alias("_b")), ["k1", "k2"])
+    common = F.size(F.array_intersect("_a", "_b"))
+    both = both.select("h1", "h2", F.col("ci").alias("match_id"), common.alias("_n"), (F.size("_a") + F.size("_b") - common).alias("_u")).where(F.col("_n") * 100 >= F.col("_u") * percent)
+    found = both.groupBy("h1", "h2").agg(F.min(F.struct("match_id", (F.col("_n") / F.col("_u")).alias("match_jaccard"))).alias("m"))
+    named = classes.select("h1", "h2", "rep", "size").join(work.save(found, "found"), ["h1", "h2"], "left").where("size > 1 or m is not null")
+    own = F.struct(F.col("rep").alias("match_id"), F.lit(1.0).alias("match_jaccard"))
+    best = F.least(F.when(F.col("id") != F.col("rep"), own), "m")
+    out = hashed.select("id", "h", "h1", "h2").join(work.save(named, "named"), ["h1", "h2"]).select(F.col("id").alias("doc_id"), "h", best.alias("m"))
+    return work.last(out.where("m is not null").select("doc_id", "h", "m.match_id", "m.match_jaccard").distinct())
 
 
 # ---- each document, its edited text and the next document ------------------------------------------------
@@ -139,20 +201,23 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half] if half else text
 
 
-def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, part_bytes: int = 8 << 20) -> DataFrame:
+def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, part_bytes: int = 8 << 20, matched: DataFrame | None = None) -> DataFrame:
     """Fingerprint every text and its edited text (see the query), and compare with the next document by descending id.
 
     Documents are dealt by ranges of ids, once.  Cut points are ids; the first document of each range goes to the range before it too,
     so that every task has its last document's successor.  Ranges follow quantiles of the ids, of which one sketch comes to the driver;
-    the sketch works in doubles, so each range then ends at the greatest id that it really has (one more aggregate over the ids).
+    the sketch works in doubles, so each range then ends at the greatest id that it really has (one more aggregate over the ids).  Cut points are
+    8 bytes for each part_bytes of text, so their number needs no limit up to PARTS; beyond, parts grow.
+
+    matched: rows of matches(), which are dealt alike and joined to their documents by merging; documents without one have nulls.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, match_id long, match_jaccard double"
     low, high, size, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text")), F.max(F.col("doc_id").isNull())).first()
     spark = docs.sparkSession
     if size is None:
         return spark.createDataFrame([], schema)
-    parts = int(max(1, min(size // part_bytes + 1, 20000)))
+    parts = int(max(1, min(size // part_bytes + 1, PARTS)))
     cuts: list[int] = []
 
     def placed(points: np.ndarray):
@@ -169,7 +234,7 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     if parts > 1 and low is not None:
         shares = [k / parts for k in range(1, parts)]
-        found = rows.agg(F.percentile_approx("doc_id", shares, max(1000, 20 * parts)).alias("q")).first().q
+        found = rows.agg(F.percentile_approx("doc_id", shares, max(1000, min(20 * parts, 2**31 - 1))).alias("q")).first().q
         ends = rows.select("doc_id", F.shiftright(placed(np.array(sorted(set(found)), np.int64)), 1).alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("end"))
         cuts = sorted(r.end for r in ends.collect() if r.end is not None and low < r.end < high)
     # range k holds the ids over cut k-1, up to cut k; null ids are in range 0, behind all others
@@ -180,10 +245,16 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     heads = F.when(F.col("_at") % 2 == 1, F.struct((own + 1).alias("part"), F.lit(1).alias("role")))
     dealt = rows.withColumn("_to", F.explode(F.filter(F.array(F.struct(own.alias("part"), F.lit(0).alias("role")), heads, wraps), lambda x: x.isNotNull())))
     dealt = dealt.select("doc_id", "text", "_to.part", "_to.role", F.md5(F.col("text").cast("binary")).alias("_h"))
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("part"), F.col("role"), F.col("doc_id").desc_nulls_last(), F.col("_h"))
+    none = [F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("match_jaccard")]
+    dealt = dealt.select("*", *none)
+    if matched is not None:  # without text, before their documents
+        at = F.shiftright(placed(np.array(cuts, np.int64)), 1)
+        own = matched.select("doc_id", F.lit(None).cast("string").alias("text"), at.alias("part"), F.lit(0).alias("role"), F.col("h").alias("_h"), "match_id", "match_jaccard")
+        dealt = dealt.unionByName(own)
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("part"), F.col("role"), F.col("doc_id").desc_nulls_last(), F.col("_h"), F.col("text").isNotNull())
 
     def run(batches):
-        def finish(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
+        def finish(rows: list[tuple[int | None, str, str, tuple]]) -> pa.RecordBatch:
             texts = pa.array([r[1] for r in rows], pa.large_string())
             edited = [_edited(r[1], r[2]) for r in rows]
             a = _arrow_signatures(texts, slots)
@@ -201,9 +272,12 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 pa.array([x.tobytes().hex() for x in b], pa.string()),
                 pa.array(likeness(a, b)),
                 pa.array(likeness(a, c)),
-            ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                pa.array([r[3][0] for r in rows], pa.int64()),
+                pa.array([r[3][1] for r in rows], pa.float64()),
+            ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "match_id", "match_jaccard"])
 
-        waiting: tuple[int | None, str, int] | None = None
+        waiting: tuple[int | None, str, int, tuple] | None = None
+        match: tuple = (None, "", None, None)  # the last match that came, with its document's id and digest
         helped = False
 
         def complete(part: int | None) -> None:
@@ -212,23 +286,26 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 raise RuntimeError(f"no next document for doc_id {waiting[0]}, the last of range {waiting[2]}")
 
         for batch in batches:
-            done: list[tuple[int | None, str, str]] = []
+            done: list[tuple[int | None, str, str, tuple]] = []
             weight = 0
-            for i, t, part, role in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("part").to_pylist(), batch.column("role").to_pylist(), strict=True):
+            for i, t, part, role, h, *m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "role", "_h", "match_id", "match_jaccard")), strict=True):
+                if t is None:
+                    match = (i, h, *m)
+                    continue
                 if waiting is not None and waiting[2] == part and not helped:
-                    done.append((waiting[0], waiting[1], t))
+                    done.append((waiting[0], waiting[1], t, waiting[3]))
                     weight += len(waiting[1])
                     if weight > tc.CHUNK_BYTES:
                         yield finish(done)
                         done, weight = [], 0
                 if role == 0:
                     complete(part)
-                    waiting, helped = (i, t, part), False
+                    waiting, helped = (i, t, part, match[2:] if match[:2] == (i, h) else (None, None)), False
                 else:
                     helped = True  # only the first helper of a range counts
             if done:
                 yield finish(done)
         complete(None)
 
-    return dealt.drop("_h").mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 

@@ -32,15 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seriesframe.llm import textcols as tc
-from seriesframe.llm.fingerprint import shingles, signatures
-from seriesframe.llm.tables import Workspace
+from seriesframe.llm.fingerprint import distinct, set_hashes, shingles, signatures
+from seriesframe.llm.tables import Workspace, pick
 
 HALVES = 25  # half keys of each collection
 MINIMA = 3  # minima of a half key
 BITMAP = 16  # longs of a parity bitmap
-#: Ids that are broadcast to pick documents, at most (8 bytes each); beyond, documents are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -49,14 +46,7 @@ def _sets(text: pa.Array):
     """(rows, hashes, first) piece by piece: sorted distinct shingle hashes of each text of the piece."""
     for a, b in tc.pieces(text):
         data, offsets = tc.raw(text.slice(a, b - a))
-        h, first = shingles(_LOWER[data], offsets)
-        row = np.repeat(np.arange(b - a), np.diff(first))
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        h, row = h[new], row[new]
-        yield a, b, h, np.searchsorted(row, np.arange(b - a + 1))
+        yield a, b, *distinct(*shingles(_LOWER[data], offsets))
 
 
 def _hash_all(batches):
@@ -64,9 +54,7 @@ def _hash_all(batches):
     for batch in batches:
         for a, b, h, first in _sets(tc.column(batch, "_t")):
             n = np.diff(first)
-            with np.errstate(over="ignore"):
-                sums = [np.concatenate([[0], np.cumsum(tc.mix(h ^ np.uint64(s)), dtype=np.uint64)]).astype(np.uint64) for s in (0x1234567, 0x9ABCDEF0FEDC)]
-                one, two = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
+            one, two = set_hashes(h, first)
             s = signatures(h, first, 2 * HALVES * MINIMA).astype(np.uint64).reshape(b - a, 2, HALVES, MINIMA)
             with np.errstate(over="ignore"):
                 keys = np.zeros(s.shape[:3], np.uint64)
@@ -94,13 +82,6 @@ def _possible(percent: int, a: str = "x", b: str = "y") -> Column:
     return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & ((total - apart) * (100 + percent) >= total * (2 * percent))
 
 
-def pick(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is in ids (distinct, saved): by a broadcast of BROADCAST_IDS ids at most, else by a shuffle."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, key, "left_semi")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets pass."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("_b")), "b")

@@ -55,7 +55,8 @@ def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compare_neighbours(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fingerprint.compare_neighbours(docs, matched=fingerprint.matches(docs))
 
 
 def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

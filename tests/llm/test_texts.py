@@ -167,13 +167,83 @@ def test_likeness_estimates_jaccard():
         assert abs(fingerprint.likeness(s[0], s[1]) - len(x & y) / len(x | y)) < 0.12
 
 
-def test_near_pairs(spark):
-    base = [f"w{i}" for i in range(60)]
-    texts = [" ".join(base), " ".join(base), " ".join(base[:-2] + ["x", "y"]), " ".join(base[:30]), "other words that are here now", None]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    pairs = {(r.a, r.b): r.similarity for r in fingerprint.near_pairs(docs).collect()}
-    x, y = shingle_set(texts[0]), shingle_set(texts[2])
-    assert pairs == {(0, 2): pytest.approx(len(x & y) / len(x | y))}
+def exact_set(text):
+    """Five-word shingles without lower-casing."""
+    w = WORD.findall(text or "")
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_matches(spark, monkeypatch):
+    """Verified matches against all pairs; the neighbours' query carries them."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(rng.choice([3, 20, 70]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = "zz"
+            rows.append((len(rows) * 17 % 503, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, " "), (None, rows[0][1]), rows[4], (903, rows[4][1].replace(" ", "  ")), (904, "Upper Case"), (905, "upper case"), (rows[7][0], "another text of this id")]
+    docs = spark.createDataFrame([(i, t, "h", 1) for i, t in rows], "doc_id long, text string, h string, match_id int").repartition(3)
+    got = {(r.doc_id, r.h): (r.match_id, r.match_jaccard) for r in fingerprint.matches(docs).collect()}
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    matched = 0
+    for i, t in rows:
+        s, m = exact_set(t), got.get((i, hashlib.md5((t or "").encode()).hexdigest()))
+        least = min((j for j, u in rows if j is not None and near(s, exact_set(u))), default=i)
+        if i is None or least is None or not s or least == i:
+            assert m is None
+        elif m is None:  # no bucket had a nearer centre: every partner is one of its own class or reached through another
+            raise AssertionError((i, t))
+        else:
+            assert m[0] >= least and any(j == m[0] and near(s, exact_set(u)) and abs(m[1] - len(s & exact_set(u)) / len(s | exact_set(u))) < 1e-12 for j, u in rows)
+            matched += m[0] == least
+    assert matched > 10
+    out = fingerprint.compare_neighbours(docs, matched=fingerprint.matches(docs), part_bytes=2000).collect()
+    assert len(out) == len(rows)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(hashlib.md5((t or "").encode()).hexdigest())
+    for r in out:
+        assert (r.match_id, r.match_jaccard) in [got.get((r.doc_id, h), (None, None)) for h in texts[r.doc_id]]
+    assert sum(r.match_id is not None for r in out) == sum((i, hashlib.md5((t or "").encode()).hexdigest()) in got for i, t in rows)
+    assert fingerprint.matches(docs.limit(0)).count() == 0
+    from seriesframe.llm import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_IDS", 0)  # the other way to pick documents
+    assert {(r.doc_id, r.h): (r.match_id, r.match_jaccard) for r in fingerprint.matches(docs).collect()} == got
+
+
+def test_one_bucket_stays_linear(spark):
+    """4,000 texts with one centre: candidates are as many as texts, not their square."""
+    base = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(k, " ".join([*base, f"x{k}"])) for k in range(4000)], "doc_id long, text string")
+    out = fingerprint.matches(docs).collect()
+    assert len(out) == 3999 and {r.match_id for r in out} == {0} and min(r.match_jaccard for r in out) > 0.9
+
+
+def test_signatures_by_brute_force():
+    """Slots as minima over single hashes; texts longer than the pieces that are hashed at once too."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["", "a", "a b c d", "a b c d e", " ".join(rng.choice("abc") for _ in range(50)), " ".join(str(rng.random()) for _ in range(fingerprint._PIECE + 1000)), "a b c d e"]
+    data, offsets = fingerprint.tc.raw(pa.array(texts, pa.large_string()))
+    h, first = fingerprint.shingles(data, offsets)
+    s = fingerprint._arrow_signatures(pa.array(texts, pa.large_string()), 16)
+    known = {}
+    for k, t in enumerate(texts):
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        own = h[first[k] : first[k + 1]].tolist()
+        assert len(own) == len(grams) and all(known.setdefault(g, x) == x for g, x in zip(grams, own, strict=True))
+        for i in range(16):
+            a, b = int(fingerprint._A[i]), int(fingerprint._B[i])
+            assert int(s[k, i]) == min((((x * a + b) & (2**64 - 1)) >> 32 for x in set(own)), default=0xFFFFFFFF)
+    assert len(set(known.values())) == len(known)
+    one, two = fingerprint.set_hashes(*fingerprint.distinct(h, first))  # equal sets have equal hashes wherever they stand
+    assert one.dtype == two.dtype == np.int64 and (one[3], two[3]) == (one[6], two[6]) and len(set(one)) == len(set(two)) == len(texts) - 1
 
 
 @pytest.mark.skipif(not os.path.isfile(spm.MODEL_PATH), reason="no tokenizer files")
