@@ -177,7 +177,7 @@ def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slot
     keyed = classes.select(me.alias("x"), F.explode("bands").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("x").alias("c"), F.max("x").alias("d")).where("c < d").select("key", "c")
     near = F.least("x.n", "c.n") * 100 >= F.greatest("x.n", "c.n") * percent
-    pairs = keyed.join(centres, "key").where(F.col("x") != F.col("c")).where(near).select("x", "c").distinct()
+    pairs = keyed.join(work.save(centres, "centres"), "key").where(F.col("x") != F.col("c")).where(near).select("x", "c").distinct()
     pairs = work.save(pairs.select("x.h1", "x.h2", F.col("x.id").alias("xi"), F.col("c.h1").alias("k1"), F.col("c.h2").alias("k2"), F.col("c.id").alias("ci")), "pairs")
     wanted = work.save(pairs.select(F.explode(F.array("xi", "ci")).alias("id")).distinct(), "wanted")
     sets = pick(rows, wanted).mapInArrow(_sets, "h1 long, h2 long, s array<long>").groupBy("h1", "h2").agg(F.first("s").alias("s"))

@@ -46,12 +46,17 @@ class _Bits:
 
 
 class FMIndex:
-    """Counts occurrences of patterns in seq (non-negative integers) by backward search."""
+    """Counts occurrences of patterns in seq (non-negative integers) by backward search.
 
-    def __init__(self, seq: np.ndarray):
+    weight: how often each place of seq counts (once, if not given), so that repeated parts are stored once.
+    """
+
+    def __init__(self, seq: np.ndarray, weight: np.ndarray | None = None):
         seq = np.concatenate([np.asarray(seq, np.int64) + 1, [0]])  # the end sorts before all
         order = suffix_array(seq)
         last = seq[order - 1]
+        weight = np.ones(len(seq), np.int64) if weight is None else np.append(weight, 1)
+        self.before = np.concatenate([[0], np.cumsum(weight[order])])  # weights of the suffixes before each place in their order
         self.size = len(seq)
         self.symbols = int(seq.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=self.symbols))])
@@ -81,7 +86,7 @@ class FMIndex:
 
 
 def repeated_windows(index: FMIndex, seq: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, least: int = 2) -> list[np.ndarray]:
-    """For each stream seq[begin:end]: whether the window at each of its places occurs `least` times or more in the index.
+    """For each stream seq[begin:end]: whether the window at each of its places occurs `least` times or more in the index (by weight).
 
     All streams are searched side by side, each from its right end.  A window's left half goes first: where it already fails, at place f, all
     windows over [f, end of the half) fail.  Otherwise the whole window is searched, and as long as it goes on to the left, the windows
@@ -99,7 +104,7 @@ def repeated_windows(index: FMIndex, seq: np.ndarray, begin: np.ndarray, end: np
     next_ = begin + at + half - 1  # the next symbol to the left
     while len(live):
         lo, hi = index.step(seq[next_[live]], low[live], high[live])
-        ok = hi - lo >= least
+        ok = index.before[hi] - index.before[lo] >= least
         place = next_[live] - begin[live]  # where the match starts now
         # failures
         bad = live[~ok]

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seriesframe.llm.tables import unused
+
 OUT = ("mix_slot", "mix_block", "mix_offset", "mix_release", "mix_deadline", "mix_position")
 
 
@@ -103,36 +105,38 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int], *, doc_id: str = "do
     """
     spark = docs.sparkSession
     docs = docs.drop(*OUT)
-    order = [F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("_h"), F.col(doc_id).alias("_id")]
+    stem = unused(docs, "_mix")
+    own = {k: stem + k for k in ("_h", "_id", "_t", "_s", "_b", "_n", "_before", "_r", "_a", "_turn", "_slot")}
+    order = [F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias(own["_h"]), F.col(doc_id).alias(own["_id"])]
     tie = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) if text else F.lit("")
     digits = 1
     n = docs.count()
     while 16**digits * rows_in_bucket < n and digits < 8:
         digits += 1
-    keyed = docs.select("*", *order, tie.alias("_t"), _key(source).alias("_s")).withColumn("_b", F.substring("_h", 1, digits))
-    before = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    counts = docs.select(_key(source).alias("_s"), F.substring(order[0], 1, digits).alias("_b")).groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy("_s", "_b").orderBy("_h", "_id", "_t")
-    ranked = keyed.withColumn("_r", F.row_number().over(within) - 1).join(counts.hint("shuffle_merge"), ["_s", "_b"]).withColumn("_r", F.col("_r") + F.col("_before"))
-
-    block = F.floor(F.col("_r") / block_docs).cast("long")
+    keyed = docs.select("*", *order, tie.alias(own["_t"]), _key(source).alias(own["_s"])).withColumn(own["_b"], F.substring(own["_h"], 1, digits))
+    before = W.partitionBy(own["_s"]).orderBy(own["_b"]).rowsBetween(W.unboundedPreceding, -1)
+    counts = docs.select(_key(source).alias(own["_s"]), F.substring(order[0], 1, digits).alias(own["_b"])).groupBy(own["_s"], own["_b"]).agg(F.count(F.lit(1)).alias(own["_n"]))
+    counts = counts.select(own["_s"], own["_b"], F.coalesce(F.sum(own["_n"]).over(before), F.lit(0)).alias(own["_before"]))
+    within = W.partitionBy(own["_s"], own["_b"]).orderBy(own["_h"], own["_id"], own["_t"])
+    ranked = keyed.withColumn(own["_r"], F.row_number().over(within) - 1).join(counts.hint("shuffle_merge"), [own["_s"], own["_b"]]).withColumn(own["_r"], F.col(own["_r"]) + F.col(own["_before"]))
+
+    block = F.floor(F.col(own["_r"]) / block_docs).cast("long")
     d = sum(a for a in weights.values() if a > 0)
     rows = [("" if s is None else f"={s}", int(a)) for s, a in weights.items() if a > 0]
-    shares = spark.createDataFrame(rows, "_s string, _a long")
-    table = schedule(spark, weights).select(_key("source").alias("_s"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
+    shares = spark.createDataFrame(rows, f"{own['_s']} string, {own['_a']} long")
+    table = schedule(spark, weights).select(_key("source").alias(own["_s"]), F.col("turn").alias(own["_turn"]), F.col("slot").alias(own["_slot"]))
     placed = (
         ranked.withColumn("mix_block", block)
-        .withColumn("mix_offset", (F.col("_r") % block_docs).cast("long"))
-        .join(F.broadcast(shares), "_s", "left")  # a row for each source
-        .withColumn("_turn", F.col("mix_block") % F.col("_a"))
-        .join(F.broadcast(table), ["_s", "_turn"], "left")  # d rows
+        .withColumn("mix_offset", (F.col(own["_r"]) % block_docs).cast("long"))
+        .join(F.broadcast(shares), own["_s"], "left")  # a row for each source
+        .withColumn(own["_turn"], F.col("mix_block") % F.col(own["_a"]))
+        .join(F.broadcast(table), [own["_s"], own["_turn"]], "left")  # d rows
     )
-    slot = F.expr("mix_block div _a") * d + F.col("_slot")
+    slot = F.expr(f"mix_block div {own['_a']}") * d + F.col(own["_slot"])
     placed = (
         placed.withColumn("mix_slot", slot.cast("long"))
-        .withColumn("mix_release", F.floor(F.col("mix_block") * d / F.col("_a")).cast("long"))
-        .withColumn("mix_deadline", F.ceil((F.col("mix_block") + 1) * d / F.col("_a")).cast("long"))
+        .withColumn("mix_release", F.floor(F.col("mix_block") * d / F.col(own["_a"])).cast("long"))
+        .withColumn("mix_deadline", F.ceil((F.col("mix_block") + 1) * d / F.col(own["_a"])).cast("long"))
         .withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("mix_offset"))
     )
     return placed.select(*docs.columns, *OUT)

@@ -14,7 +14,8 @@ documents are linked if 100 * |intersection| >= 75 * |union|; a component is wha
 4. Buckets of four members or more that still hold more than one component need more (smaller ones are all compared by then): their members
    are joined by a prefix filter.  With shingles ordered by frequency, linked sets share one of their first |x| - ceil(0.75 |x|) + 1
    shingles, so that only members of different components with a common rare shingle are compared, again behind sizes and
-   bitmaps.  This step drops no link, whatever a bucket's size.
+   bitmaps.  Two sets whose first common shingle stands far back in both can't be linked and never meet (texts that differ in few words
+   of a short template), nor do members of a shingle's most frequent component.  This step drops no link, whatever a bucket's size.
 
 All steps are joins and aggregations over keys; tables between them are written to the shared folder.
 
@@ -123,7 +124,8 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     def shared(collection: str, among: DataFrame) -> DataFrame:
         """(id, half keys of the collection that another class has too)."""
         keys = among.select("id", F.explode(F.transform(collection, lambda x, k: x.bitwiseXOR(k.cast("long")))).alias("key"))
-        several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+        # written before the join: so both its sides are plain exchanges, and Spark splits the partition of a frequent key
+        several = work.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "shared")
         return keys.join(several, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias(collection))
 
     first = work.save(shared("u", classes), "first")
@@ -132,7 +134,7 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     keyed = halves.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v"))
     keyed = keyed.select("id", F.xxhash64("u", "v").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    buckets = work.save(keyed.join(centres, "key"), "buckets")
+    buckets = work.save(keyed.join(work.save(centres, "centres"), "key"), "buckets")
 
     stars = buckets.select(F.col("id"), F.explode(F.array("low", "high")).alias("c")).where("id <> c")
     pairs = work.save(stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "pairs")
@@ -153,13 +155,20 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     parts = pick(sets, work.save(open_.select("id").distinct(), "open-ids")).select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
     counts = parts.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one member only come first in the order; how many there are follows from the rest
-    common = parts.join(counts, "s").withColumn("r", F.row_number().over(W.partitionBy("id", "n").orderBy(F.desc("df"), F.desc("s"))))
+    common = parts.join(work.save(counts, "counts"), "s").withColumn("r", F.row_number().over(W.partitionBy("id", "n").orderBy(F.desc("df"), F.desc("s"))))
     # places count from the end: the prefix is what is left without the last ceil(percent * n) - 1 shingles
-    prefix = common.where(F.col("r") > F.ceil(F.col("n") * percent / 100) - 1).select("id", "n", "s")
-    prefix = work.save(prefix.join(open_, "id").join(facts.select("id", F.col("n").cast("int").alias("n"), "bits"), ["id", "n"]).select("id", "label", "n", "s", "bits"), "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible(percent))
-    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    prefix = common.where(F.col("r") > F.ceil(F.col("n") * percent / 100) - 1).select("id", "n", "s", (F.col("n") - F.col("r")).alias("i"))
+    prefix = prefix.join(open_, "id").join(facts.select("id", F.col("n").cast("int").alias("n"), "bits"), ["id", "n"])
+    # i and j shingles before the first one that two linked sets share differ: (i + j) (100 + percent) <= (n + m) (100 - percent), so one of the two is strong
+    strong = F.col("i") * (100 + percent) <= F.col("n") * (100 - percent)
+    prefix = work.save(prefix.select("id", "label", "n", "s", "bits", strong.alias("strong")), "prefix")
+    # a shingle's members of its most frequent component aren't compared among themselves: one side of each pair is of another
+    tops = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("s").agg(F.max_by("label", F.struct("_n", "label")).alias("top"), F.count(F.lit(1)).alias("_l")).where("_l > 1").select("s", "top")
+    placed = work.save(prefix.join(work.save(tops, "tops"), "s"), "placed")
+    x = placed.where("label <> top").withColumn("only", F.col("strong").cast("int")).alias("x")  # weak ones meet strong ones only
+    y = placed.withColumn("only", F.explode(F.when(F.col("strong"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))).alias("y")
+    more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.only") == F.col("y.only")) & (F.col("x.label") != F.col("y.label")) & _possible(percent))
+    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     links = links.union(_linked(work.save(more, "rest"), sets, percent))
     # rows of one id with several sets join the components of all of them
     several = some.groupBy("id").agg(F.countDistinct("h1", "h2").alias("_n")).where("_n > 1").select("id")

@@ -5,9 +5,10 @@ occurs anywhere else too, in the same document included.  Windows are judged on
 
 1. Anchors.  In each window, the run of 8 words with the least hash is its anchor; equal windows have equal anchors.  Neighbouring windows
    with one anchor form a segment.  Anchors are counted over all documents; only segments whose anchor occurs again can hold a repeat.
-2. Equal segments (by their words) are merged, with a count: all windows of a segment that occurs twice are repeats.
+2. Equal segments (128 bits of hashes of their anchor and words) are merged, with a count.
 3. Segments with one anchor go to one shard.  A shard's words become a compressed FM-index (wavelet matrix of the
-   Burrows-Wheeler transform); its segments are streamed through backward search, which gives the intervals whose windows occur again.
+   Burrows-Wheeler transform) that knows each segment's count; all its segments are streamed through backward search, which gives the intervals
+   whose windows occur twice or more.  Every repeat is found there, by its words.
    Anchors with very many different segments are split: their segments become single windows, sharded by their own words.
 4. Flagged windows return to their documents by segment.
 
@@ -15,7 +16,8 @@ Shards have a bounded number of words, whatever the data; nothing unbounded is b
 
 Defined cases: a null or empty text has no words (n_words 0, the digest of the empty text); texts under 35 words lose nothing; texts
 of any length are taken whole; repeated rows are documents like others, so their windows repeat; null ids are an id of their own; rows with one
-id but different texts are judged apart; an empty table gives an empty result; other columns don't take part.
+id but different texts are judged apart; an empty table gives an empty result; other columns don't take part, and keep their names and values
+whatever these are.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from pyspark.sql import types as T
 
 from seriesframe.llm import textcols as tc
 from seriesframe.llm.fmindex import FMIndex, repeated_windows
-from seriesframe.llm.tables import Workspace
+from seriesframe.llm.tables import Workspace, unused
 
 WINDOW = 35
 ANCHOR = 8
 SHARD_WORDS = 200_000
+#: Up to TASKS shards have a task of their own; beyond, a task takes SHARDS_IN_TASK of them, one after another.
+TASKS, SHARDS_IN_TASK = 2_000, 64
 #: An anchor with more different segments than this is split into single windows.
 SPLIT_ABOVE = 2_000
 
@@ -124,7 +128,7 @@ def _single(window: int):
 
 
 def _search(window: int):
-    """One shard for each partition: index its segments, and stream those that occur once through the index."""
+    """Shard by shard, as a task's rows come: index the shard's segments, each with the number of its occurrences, and stream all through the index."""
 
     def flags(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
         numbers: dict[bytes, int] = {}
@@ -136,21 +140,24 @@ def _search(window: int):
         there = np.ones(len(seq), bool)
         there[ends] = False
         seq[there] = flat
-        once = np.array([x[3] == 1 for x in rows])
-        masks = np.array([(1 << x[2]) - 1 for x in rows], np.int64)
-        if once.any():
-            index = FMIndex(seq)
-            found = repeated_windows(index, seq, (ends - sizes)[once], ends[once], window)
-            masks[once] = [int((f.astype(np.int64) << np.arange(len(f))).sum()) for f in found]
+        many = np.array([x[3] for x in rows])
+        weight = np.repeat(many, sizes + 1)
+        found = repeated_windows(FMIndex(seq, weight), seq, ends - sizes, ends, window)
+        masks = np.array([int((f.astype(np.int64) << np.arange(len(f))).sum()) for f in found])
         keep = np.flatnonzero(masks)
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int64()), pa.array(masks[keep])], ["g", "w", "mask"])
 
     def run(batches):
         rows: list[tuple[int, int, int, int, bytes]] = []
+        now = None
         for batch in batches:
-            rows += zip(*(batch.column(c).to_pylist() for c in ("g", "w", "n", "many", "words")), strict=True)
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "g", "w", "n", "many", "words")), strict=True):
+                if shard != now and rows:
+                    yield flags(rows)
+                    rows = []
+                now = shard
+                rows.append(tuple(row))
         if rows:
-            rows.sort(key=lambda x: x[:2])
             yield flags(rows)
 
     return run
@@ -162,7 +169,7 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _shard(n: int) -> Column:
-    return F.pmod(F.xxhash64("g"), F.lit(n)).cast("int")
+    return F.pmod(F.xxhash64("g"), F.lit(n))
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, split_above: int = SPLIT_ABOVE) -> DataFrame:
@@ -175,7 +182,8 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
     work = Workspace(docs.sparkSession, "substring")
     rows = _keys(docs, doc_id, text)
     segments = work.save(rows.mapInArrow(_segments(window, anchor), "id long, th long, g long, w long, at int, n int"), "segments")
-    again = segments.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("g")
+    # written before the join: so both its sides are plain exchanges, and Spark splits the partition of an anchor that many segments have
+    again = work.save(segments.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("g"), "again")
     segments = work.save(segments.join(again, "g", "left_semi"), "candidates")
 
     # one text for each different segment: of the document with the least key that has it
@@ -193,11 +201,12 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
     items = work.save(different.join(split, "g", "left_anti").select("g", "w", "n", "many", "words").unionByName(singles), "items")
     total = items.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = int(max(1, -(-total // shard_words)))
-    flags = items.repartitionById(shards, _shard(shards)).mapInArrow(_search(window), "g long, w long, mask long")
-    flags = work.save(flags, "flags")
+    tasks = min(shards, max(TASKS, -(-shards // SHARDS_IN_TASK)))
+    dealt = items.withColumn("shard", _shard(shards)).repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "g", "w")
+    flags = work.save(dealt.mapInArrow(_search(window), "g long, w long, mask long"), "flags")
 
     back = single.select("sg", "sw", "k", "g", "w").join(flags.select("g", "w"), ["g", "w"]).groupBy("sg", "sw").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    flags = flags.join(split, "g", "left_anti").union(back.select("sg", "sw", "mask"))
+    flags = work.save(flags.join(split, "g", "left_anti").union(back.select("sg", "sw", "mask")), "all-flags")
     return work.last(segments.join(flags, ["g", "w"]).groupBy("id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("runs")))
 
 
@@ -231,19 +240,22 @@ def _pieces(data: np.ndarray) -> list[bytes]:
     return [x for x in data.tobytes().translate(_TO_SPACE).split(b" ") if x]
 
 
-def _with_runs(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_th": F.xxhash64(F.col(text))})
-    return keyed.join(found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs")), ["_id", "_th"], "left").drop("_id", "_th")
+def _with_runs(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """docs with the runs of each row, and the name of that column."""
+    own = unused(docs, "_runs")
+    keyed = docs.withColumns({f"{own}i": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), f"{own}t": F.xxhash64(F.col(text))})
+    joined = keyed.join(found.select(F.col("id").alias(f"{own}i"), F.col("th").alias(f"{own}t"), F.col("runs").alias(own)), [f"{own}i", f"{own}t"], "left")
+    return joined.select(*docs.columns, own), own
 
 
 def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
-    joined = _with_runs(rows, find(rows, doc_id="doc_id", text="_t", window=window, **options), "doc_id", "_t")
+    joined, own = _with_runs(rows, find(rows, doc_id="doc_id", text="_t", window=window, **options), "doc_id", "_t")
 
     def run(batches):
         for batch in batches:
-            column, runs, out = tc.column(batch, "_t"), batch.column("_runs"), []
+            column, runs, out = tc.column(batch, "_t"), batch.column(own), []
             data, offsets = tc.raw(column)
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 n, gone, kept = _kept(data[a:b], runs[i].as_py(), window)
@@ -256,11 +268,11 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
 def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", window: int = WINDOW, **options) -> DataFrame:
     """All columns of docs; texts that hold repeats are their kept words joined by one space, others stay as they are.  n_chars follows the text."""
     columns = docs.columns
-    joined = _with_runs(docs, find(docs, doc_id=doc_id, text=text, window=window, **options), doc_id, text)
+    joined, own = _with_runs(docs, find(docs, doc_id=doc_id, text=text, window=window, **options), doc_id, text)
 
     def run(batches):
         for batch in batches:
-            column, runs, out = batch.column(text).to_pylist(), batch.column("_runs").to_pylist(), []
+            column, runs, out = batch.column(text).to_pylist(), batch.column(own).to_pylist(), []
             for t, r in zip(column, runs, strict=True):
                 out.append(_kept(np.frombuffer(t.encode(), np.uint8), r, window)[2].decode() if r and t else t)
             new = {text: pa.array(out, pa.string())}
@@ -268,4 +280,4 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_cha
                 new[n_chars] = pa.array([None if x is None else len(x) for x in out], pa.int64()).cast(batch.schema.field(n_chars).type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
 
-    return joined.select(*columns, "_runs").mapInArrow(run, T.StructType([docs.schema[c] for c in columns]))
+    return joined.mapInArrow(run, T.StructType([docs.schema[c] for c in columns]))

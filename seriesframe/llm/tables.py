@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def unused(frame: DataFrame, stem: str) -> str:
+    """A prefix that no column's name has, so that names of our own clash with none (Spark's names know no case)."""
+    while any(c.lower().startswith(stem) for c in frame.columns):
+        stem += "_"
+    return stem
+
+
 class Workspace:
     """Names and paths of one run's tables."""
 

@@ -325,11 +325,12 @@ def test_schedule(spark, weights):
 
 def test_mix(spark):
     rows = [(k, f"t{k}", None if k % 10 == 9 else "big" if k % 10 < 6 else "small", "clash") for k in range(200)] + [(None, None, "big", "clash"), (5, "t5", "big", "clash"), (5, "t5", "big", "clash"), (700, "x", "other", "clash")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot string").repartition(3)
+    docs = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, source string, mix_slot string, _h int, _MIX_s int, _slot int").repartition(3)
     weights = {"big": 2, "small": 1, None: 1}
     out = mixing.mix(docs, weights, block_docs=4, rows_in_bucket=5)
-    assert set(out.columns) == {"doc_id", "text", "source", *mixing.OUT}
+    assert set(out.columns) == {"doc_id", "text", "source", "_h", "_MIX_s", "_slot", *mixing.OUT}
     got = out.collect()
+    assert {(r["_h"], r["_MIX_s"], r["_slot"]) for r in got} == {(7, 8, 9)}
     assert len(got) == len(rows) and [r.mix_slot for r in got if r.source == "other"] == [None]
     placed = sorted((r for r in got if r.mix_position is not None), key=lambda r: r.mix_position)
     assert len({r.mix_position for r in placed}) == len(placed)

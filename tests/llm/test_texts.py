@@ -65,6 +65,43 @@ def test_query_matches_sql(spark, compare, tmp_path, name):
     compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SF, tmp_path)
 
 
+def test_texts_of_a_template(spark):
+    """20,000 texts that share 3 of 4 shingles (similarity 0.6) in one bucket: no pair of them is made, whatever their number."""
+    rows = [(k, f"a b c d e f g w{k}") for k in range(20_000)] + [(30_000, "a b c d e f g w7 x"), (30_001, "a b c d e f g w7 x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.component_id for r in neardup.classify(docs).collect()}
+    want = dict.fromkeys([7, 30_000, 30_001], 7)  # 4 of 5
+    assert len(out) == len(rows) and all(c == want.get(i, i) for i, c in out.items())
+
+
+def test_buckets_of_several_components(spark):
+    """Members of one bucket that a prefix filter must bring together, in large and small components, against all pairs."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(24)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 5)}"
+        rows.append((k * 31 % 997, " ".join(w[: rng.choice([8, 12, 16, 24, 24])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classify(docs).collect()), key=str) == slow_components(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of many pieces, twice and nearly twice, with one that holds a part of them."""
+    rng = random.Random(12)
+    long_ = [rng.choice("abcdefgh") + str(rng.randint(0, 9999)) for _ in range(150_000)]
+    other = list(long_)
+    other[70_000] = "zz"
+    rows = [(1, " ".join(long_)), (2, " ".join(long_)), (3, " ".join(other)), (4, " ".join(long_[1000:1100])), (5, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.classify(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert sorted((tuple(r) for r in substring.digests(docs).collect()), key=str) == slow_dedup(rows, 35)
+    got = {r.doc_id: r for r in fingerprint.compare_neighbours(docs, matched=fingerprint.matches(docs)).collect()}
+    assert got[1].fingerprint == got[2].fingerprint and got[2].match_jaccard == 1.0 and got[3].match_id == 1 and got[3].match_jaccard > 0.99 and got[4].match_id is None
+
+
 def slow_dedup(rows, window):
     texts = [WORD.findall(t or "") for _, t in rows]
     count = collections.Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
@@ -76,7 +113,7 @@ def slow_dedup(rows, window):
 
 
 @pytest.mark.parametrize("window,anchor,split,words", [(6, 3, 1, 5), (35, 8, 2000, 2000)])
-def test_substrings(spark, window, anchor, split, words):
+def test_substrings(spark, monkeypatch, window, anchor, split, words):
     rng = random.Random(5)
     vocabulary = [f"é{i}" if i % 3 else f"w{i}" for i in range(words)]
     passages = [[rng.choice(vocabulary) for _ in range(rng.randint(window, 3 * window))] for _ in range(6)]
@@ -90,12 +127,15 @@ def test_substrings(spark, window, anchor, split, words):
                 w += p[rng.randint(0, window // 2) : len(p) - rng.randint(0, window // 3)]
         rows.append((d, rng.choice([" ", "\n", "  \t"]).join(w)))
     rows += [(900, None), (901, ""), (None, "a b"), (3, rows[8][1]), rows[20], rows[20], (902, "x " * 200)]
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, runs string").repartition(4)
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2, 3) for i, t in rows], "doc_id long, text string, runs string, _runs int, _ID int, _th int").repartition(4)
     options = {"window": window, "anchor": anchor, "split_above": split, "shard_words": 700}
     assert sorted((tuple(r) for r in substring.digests(docs, **options).collect()), key=str) == slow_dedup(rows, window)
     if window == 6:
         kept = substring.remove(docs, **options)
-        assert kept.columns == docs.columns and kept.count() == len(rows)
+        assert kept.columns == docs.columns and {r[2:] for r in kept.collect()} == {("clash", 1, 2, 3)} and kept.count() == len(rows)
+        monkeypatch.setattr(substring, "TASKS", 2)  # many shards in a task
+        monkeypatch.setattr(substring, "SHARDS_IN_TASK", 5)
+        assert sorted((tuple(r) for r in substring.digests(docs, **options).collect()), key=str) == slow_dedup(rows, window)
         assert substring.digests(docs.limit(0), **options).count() == 0
 
 
