@@ -28,7 +28,7 @@ from seriesframe.llm.tables import Workspace, pick
 WORDS = 5
 SLOTS = 64
 BAND = 3  # slots of a band
-PARTS = 1_000_000  # ranges of ids, at most (8 MB of cut points): 8 TB in parts of 8 MB
+PARTS = 200_000  # ranges of ids, at most (1.6 MB of cut points); a part is streamed, so a larger one takes longer, not more memory
 _PIECE = 1 << 16  # shingles hashed at once: work areas that fit a cache
 
 _rng = np.random.default_rng(20240601)
@@ -206,8 +206,8 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Documents are dealt by ranges of ids, once.  Cut points are ids; the first document of each range goes to the range before it too,
     so that every task has its last document's successor.  Ranges follow quantiles of the ids, of which one sketch comes to the driver;
-    the sketch works in doubles, so each range then ends at the greatest id that it really has (one more aggregate over the ids).  Cut points are
-    8 bytes for each part_bytes of text, so their number needs no limit up to PARTS; beyond, parts grow.
+    the sketch works in doubles, so each range then ends at the greatest id that it really has (one more aggregate over the ids).  With more
+    than PARTS times part_bytes of text, parts grow; the result is the same.
 
     matched: rows of matches(), which are dealt alike and joined to their documents by merging; documents without one have nulls.
     """
@@ -234,7 +234,7 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     if parts > 1 and low is not None:
         shares = [k / parts for k in range(1, parts)]
-        found = rows.agg(F.percentile_approx("doc_id", shares, max(1000, min(20 * parts, 2**31 - 1))).alias("q")).first().q
+        found = rows.agg(F.percentile_approx("doc_id", shares, max(1000, 10 * parts)).alias("q")).first().q
         ends = rows.select("doc_id", F.shiftright(placed(np.array(sorted(set(found)), np.int64)), 1).alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("end"))
         cuts = sorted(r.end for r in ends.collect() if r.end is not None and low < r.end < high)
     # range k holds the ids over cut k-1, up to cut k; null ids are in range 0, behind all others

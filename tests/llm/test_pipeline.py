@@ -110,3 +110,61 @@ def test_repeated_ids(spark):
     empty = docs.limit(0)
     for _, stage in cp.STAGES[1:]:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Every stage on nulls in any column, empty and very long texts, repeated rows and ids, clashing columns, and an empty table."""
+    import corpus_pipeline as cp
+    from tests.llm.test_texts import WORD, slow_dedup
+
+    whole = spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()
+    passage = " ".join(f"p{k}" for k in range(60))
+    long_ = " ".join(f"w{k}" for k in range(120_000))
+    rows = [tuple(r) for r in whole] + [tuple(whole[0]), tuple(whole[0])]
+    rows += [(9001, None, None, None, None), (9002, "", "en", None, 0), (9003, long_ + " " + passage, "en", "a", 7), (9004, "x y z " + passage, None, "a", None), (None, "words of a row without id", "en", "b", 3), (None, None, None, None, None), (None, None, None, None, None)]
+    rows += [(9005, "one text", "en", "a", 1), (9005, "another text", "en", "a", 1), (9005, "one text", "en", "b", 1)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = {c: 1 for c in ("_score", "_predicted", "id", "runs", "_runs", "mix_slot", "_s", "position", "ids", "exact", "_h", "_n")}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash)
+    docs = spark.createDataFrame([(*r, *clash.values()) for r in rows], schema).repartition(3)
+    out = {}
+    for name, stage in cp.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, SF).write.parquet(path)
+        out[name] = [tuple(r) for r in spark.read.parquet(path).collect()]
+        if name != "tokens":
+            assert spark.read.parquet(path).columns == names
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    scored = {(r.doc_id, r.text): r.predicted for r in __import__("seriesframe.llm.quality", fromlist=["x"]).score(docs, _model(spark, docs), keep=["doc_id", "text"]).collect()}
+    assert sorted(out["quality"], key=str) == sorted((r for r in rows if scored[r[0], r[1]]), key=str)
+    near = out["near_dedup"]
+    assert sum(r[0] is None for r in near) == 3 and len([r for r in near if r[0] == 9005]) == 1 and len({r[0] for r in near}) - 1 == len([r for r in near if r[0] is not None])
+    assert {9001, 9002, 9003, 9004, whole[0].doc_id} <= {r[0] for r in near}
+    want = {(i, n, gone) for i, n, gone, _ in slow_dedup([(r[0], r[1]) for r in rows], 35)}
+    for r in out["substring_dedup"]:
+        kept = len(WORD.findall(r[1] or ""))
+        assert any(i == r[0] and n - gone == kept for i, n, gone in want)
+    assert sorted(out["source_mix"], key=str) == sorted(rows, key=str)
+    assert sorted(str((r[0], r[1])) for r in out["tokens"]) == sorted(str((r[0], r[3])) for r in rows) and all(r[-1] for r in out["tokens"])
+    assert sorted(r[2] for r in out["tokens"]) == list(range(len(rows)))
+
+
+def _model(spark, docs):
+    from seriesframe.llm import quality, training
+    from seriesframe.llm.queries import PER_CLASS
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    return quality.fit(training.labelled(docs, labels, label="quality", per_class=PER_CLASS, skip=(4, 2)))
+
+
+def test_repeated_ids_keep_the_least(spark):
+    """The row that stays doesn't depend on the order of rows."""
+    import hashlib
+
+    import corpus_pipeline as cp
+
+    rows = [(1, f"text number {k % 7} here", "en", "ab"[k % 2], k % 3) for k in range(40)]
+    want = min(rows, key=lambda r: (hashlib.md5(r[1].encode()).hexdigest(), *r[1:]))
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        assert [tuple(r) for r in cp.near_dedup(spark, docs, SF).collect()] == [want]
