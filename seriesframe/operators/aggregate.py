@@ -35,11 +35,12 @@ def windows_required(start: int, end: int, resolution: int) -> int:
     return required
 
 
-def windows(points: DataFrame, series: str | list[str] | None, start: int, end: int, resolution: int, capacity: int | None = None) -> DataFrame:
+def windows(points: DataFrame, series: str | list[str] | None, start: int, end: int, resolution: int, capacity: int | None = None, *, reduce=None) -> DataFrame:
     """Dense windows of `resolution`, aligned to start; the last ends at end.  With capacity, the first so many.
 
     series: one name (its column is left out), several names, or None for every series with a point in the range.
-    Points are reduced to their windows before the shuffle, and empty windows come from a generated range.
+    Points are reduced to their windows before the shuffle, and empty windows come from a generated range.  reduce, if given, makes the
+    windows' aggregates from the points up to the last window's end (see plans.covered).
     """
     required = windows_required(start, end, resolution)
     shown = required if capacity is None else min(required, capacity)
@@ -48,11 +49,14 @@ def windows(points: DataFrame, series: str | list[str] | None, start: int, end:
     last = min(end, start + shown * resolution - 1) if shown else start - 1
     rows = of_series(points, series) if one or series is None else points.where(F.col("series").isin(series))
     keys = [] if one else ["series"]
-    if shown:
+    if shown and reduce is not None:
+        found = reduce(rows, last)
+    elif shown:
         rows = rows.where(in_range(start, last)).withColumn("bucket", bucket_of("ts", start, resolution, last - start))
     else:
         rows = rows.where(F.lit(False)).withColumn("bucket", F.lit(0).cast("long"))
-    found = rows.groupBy(*keys, "bucket").agg(*aggregate_exprs())
+    if not shown or reduce is None:
+        found = rows.groupBy(*keys, "bucket").agg(*aggregate_exprs())
     grid = spark.range(shown).withColumnRenamed("id", "bucket")
     if series is None:
         grid = rows.select("series").distinct().crossJoin(grid)  # the result itself: all windows of all series

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.functions.aggregates import summary_exprs
-from seriesframe.operators.aggregate import merge_summaries, summary_as_aggregate
+from seriesframe.functions.scalars import bucket_of
+from seriesframe.operators.aggregate import merge_summaries, summary_as_aggregate, windows
 from seriesframe.operators.scan import in_range, of_series
 from seriesframe.types import check_long
 
@@ -30,3 +31,31 @@ def covered_aggregate(points: DataFrame, pages: DataFrame, series: str, start: i
     edges = rows.groupBy("series").agg(*summary_exprs()).select(*_FIELDS)
     merged = merge_summaries(inside.where(F.lit(end >= start)).unionByName(edges))
     return summary_as_aggregate(merged)
+
+
+#: Time ranges of pages that are put into one pushed filter, at most; with more, all points from the first to the last are read.
+RANGES = 200
+
+
+def covered_windows(points: DataFrame, pages: DataFrame, series: str, start: int, end: int, resolution: int, capacity: int | None = None) -> DataFrame:
+    """Dense windows (see windows): a page that lies in one window answers from its summary, and points are read of the others only."""
+
+    def reduce(rows: DataFrame, last: int) -> DataFrame:
+        bucket = lambda c: bucket_of(c, start, resolution, last - start)
+        own = of_series(pages, series).where((F.col("ts_max") >= start) & (F.col("ts_min") <= last))
+        inside = (F.col("ts_min") >= start) & (F.col("ts_max") <= last)
+        whole = own.where(inside).withColumn("bucket", bucket("ts_min")).withColumn("until", bucket("ts_max"))
+        cut = own.where(~inside).select("ts_min", "ts_max").unionByName(whole.where("bucket <> until").select("ts_min", "ts_max"))
+        spans = [(r.ts_min, r.ts_max) for r in cut.limit(RANGES + 1).collect()]
+        if len(spans) > RANGES:  # windows finer than pages: summaries are of little use
+            rows, whole = rows.where(in_range(start, last)), whole.where(F.lit(False))
+        else:
+            held = F.lit(False)
+            for low, high in spans:
+                held = held | in_range(max(low, start), min(high, last))
+            rows = rows.where(held)
+        fields = [f for f in _FIELDS if f != "series"]
+        edges = rows.withColumn("bucket", bucket("ts")).groupBy("bucket").agg(*summary_exprs()).select("bucket", *fields)
+        return summary_as_aggregate(merge_summaries(whole.where("bucket = until").select("bucket", *fields).unionByName(edges), "bucket"), "bucket")
+
+    return windows(points, series, start, end, resolution, capacity, reduce=reduce)

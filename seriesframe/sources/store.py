@@ -10,6 +10,9 @@ Readers pin one generation: they read the files that its manifest names and noth
 manifest, and the manifest before the pointer; a crash in between leaves files that nothing names.  If the pointer or the newest
 manifest is damaged, readers fall back to the newest one that is sound; if none is, they fail.
 
+Manifests hold the SHA-256 of every file that they name (data, pages and catalog), taken by Spark from what was written; verify() takes them again.
+Frames are written once to store/staged/ before they are checked, so that what is checked is what is published.
+
 Values keep their bits: Spark's writer makes all NaNs alike, so each NaN's bits are kept in nan_bits.
 """
 
@@ -37,13 +40,14 @@ from seriesframe.operators import aggregate as A
 from seriesframe.operators import envelope as E
 from seriesframe.operators import scan as S
 from seriesframe.operators.lookup import lookup, lookup_batch
-from seriesframe.plans.covered import covered_aggregate
+from seriesframe.plans.covered import covered_aggregate, covered_windows
 from seriesframe.sources.files import Files, Lock
 from seriesframe.types import PAGE_POINTS, Aggregate, LookupMode, Point, check_long, check_name, check_ulong
 
 STORED = "series_id int, series string, ts long, value double, nan_bits long, page_no long"
 PAGES = "series_id int, series string, page_no long, ts_min long, ts_max long, point_count long, v_min double, v_max double, v_sum double, v_first double, v_last double, segment string, codec string"
 CATALOG = "series_id int, series string, ts_min long, ts_max long, point_count long, v_min double, v_max double, v_sum double, v_first double, v_last double"
+FILE_POINTS = 20_000_000  # of one data file, at most: files stay far below 2 GB
 CODECS = {"raw": "none", "compressed": "zstd"}
 _BATCH = T.StructType([T.StructField("series", T.StringType(), False), T.StructField("pos", T.LongType(), False), T.StructField("ts", T.LongType(), False), T.StructField("value", T.DoubleType(), False), T.StructField("nan_bits", T.LongType())])
 
@@ -65,6 +69,17 @@ def _unseal(data: bytes) -> dict | None:
     return body | {"sha256": digest} if _digest(body) == digest else None
 
 
+def digests(spark: SparkSession, path: str, folders: Sequence[str]) -> dict[str, dict[str, str]]:
+    """SHA-256 of each data file of each folder, taken on the executors; a row for each file comes to the driver."""
+    out: dict[str, dict[str, str]] = {f: {} for f in folders}
+    if folders:
+        files = spark.read.format("binaryFile").load([f"{path}/{f}" for f in folders])
+        for name, sha in files.select("path", F.sha2("content", 256)).collect():
+            folder, base = "/".join(name.split("/")[-3:-1]), name.rsplit("/", 1)[1]
+            out[folder][base] = sha
+    return out
+
+
 def elect(files: Files) -> dict:
     """The newest sound manifest: the pointer's, or else the newest whose digest and predecessor's digest hold."""
     numbers = sorted((int(n[4:-5]) for n in files.names("_manifests") if n.startswith("gen=") and n.endswith(".json")), reverse=True)
@@ -164,6 +179,13 @@ class Reader:
         self._adopt(manifest)
         return True
 
+    def at(self, generation: int) -> dict:
+        """The manifest of an earlier generation."""
+        m = _unseal(self.files.read(f"_manifests/gen={generation}.json"))
+        if m is None or m["generation"] != generation:
+            raise err.IntegrityError(f"the manifest of generation {generation} is damaged")
+        return m
+
     # ---- tables of this generation
 
     def _table(self, folder: str, names: list[str], schema: str) -> DataFrame:
@@ -338,8 +360,21 @@ class Reader:
         if max_distance is not None:
             check_ulong("max_distance", max_distance)
         row = self._resolve(series)
-        found = lookup(self._own(row, exact_bits=True), row.series, target, mode, max_distance).first()
-        return None if found is None else Point(found.ts, found.value)
+        own = self.pages().where(F.col("series_id") == row.series_id)
+        at = {LookupMode.EXACT: [own.where((F.col("ts_min") <= target) & (F.col("ts_max") >= target))]}
+        at[LookupMode.PREDECESSOR] = [own.where(F.col("ts_min") <= target).orderBy(F.desc("ts_min"))]
+        at[LookupMode.SUCCESSOR] = [own.where(F.col("ts_max") >= target).orderBy("ts_max")]
+        at[LookupMode.NEAREST] = at[LookupMode.PREDECESSOR] + at[LookupMode.SUCCESSOR]
+        spans = {(p.segment, p.ts_min, p.ts_max) for pages in at[mode] if (p := pages.select("segment", "ts_min", "ts_max").first())}
+        if not spans:
+            return None
+        # the page or two that hold the answer, and nothing else
+        rows = [self._table("data", [segment], STORED).where((F.col("series_id") == row.series_id) & S.in_range(low, high)) for segment, low, high in sorted(spans)]
+        held = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        found = lookup(held.select("series", "ts", "value", "nan_bits"), row.series, target, mode, max_distance).first()
+        if found is None:
+            return None
+        return Point(found.ts, found.value if found.nan_bits is None else struct.unpack("<d", struct.pack("<q", found.nan_bits))[0])
 
     def lookup_batch(self, queries: DataFrame, **options) -> DataFrame:
         return lookup_batch(self.points(), queries, **options)
@@ -357,7 +392,8 @@ class Reader:
         """The first `capacity` dense windows (default: all), and how many there are."""
         row = self._resolve(series)
         required = A.windows_required(start, end, resolution)
-        return A.windows(self._own(row), row.series, start, end, resolution, capacity), required
+        pages = self.pages().where(F.col("series_id") == row.series_id)
+        return covered_windows(self._own(row), pages, row.series, start, end, resolution, capacity), required
 
     def envelope(self, series: str | SeriesHandle, bounds: Sequence[tuple[int, int]], *, max_gap: int | None = None, capacity: int | None = None) -> tuple[DataFrame | None, dict]:
         """(buckets, progress); with too small a capacity nothing is read."""
@@ -388,14 +424,14 @@ class Writer:
         self.poisoned, self.closed = False, False
         try:
             if not there:
-                self._publish({"generation": 1, "previous": None, "segments": [], "catalog": None, "series_count": 0, "point_count": 0, "batch": None}, sync=False)
+                self._publish({"generation": 1, "previous": None, "segments": [], "catalog": None, "catalog_files": {}, "series_count": 0, "point_count": 0, "batches": {}}, sync=False)
             self.reader = Reader(spark, path)
         except Exception:
             self._lock.release()
             raise
         self._tails: dict[str, int | None] = {}
         self._staged: list[tuple[str, np.ndarray, np.ndarray]] = []
-        self._frames: list[DataFrame] = []
+        self._frames: list[tuple[str, DataFrame, DataFrame]] = []  # folder, points, and the last timestamp of each series
         self.generation = self.reader.generation
 
     def __enter__(self):
@@ -416,6 +452,10 @@ class Writer:
                 self._tails[series] = self.reader.latest_timestamp(series)
             except err.SeriesNotFound:
                 self._tails[series] = None
+            tails = [int(t[-1]) for name, t, _ in self._staged if name == series]
+            tails += [r.tail for _, _, f in self._frames for r in f.where(F.col("series") == series).collect()]
+            if tails:
+                self._tails[series] = max(tails)
         return self._tails[series]
 
     def prepare(self, series: str, max_points: int) -> None:
@@ -463,41 +503,63 @@ class Writer:
         With pos, timestamps must increase in its order; without, the rows have no order of their own, and equal timestamps are refused.
         """
         self._ready()
-        rows = points.select("series", "ts", "value", F.col(pos).alias("pos") if pos else F.col("ts").alias("pos"))
-        bad = S.order_violations(rows, series="series", pos="pos", ts="ts").limit(1).count()
-        head = rows.groupBy("series").agg(F.min("ts").alias("head"))
-        late = head.join(self.reader.catalog().select("series", "ts_max"), "series").where("head <= ts_max").limit(1).count()
-        names = rows.where("series is null or series = '' or octet_length(series) > 65535 or ts is null or value is null").limit(1).count()
-        if names:
+        rows = points.select("series", "ts", "value", F.col(pos).alias("pos") if pos else F.col("ts").alias("pos"), _nan_bits("value").alias("nan_bits"))
+        folder = f"staged/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.path}/{folder}/points")
+            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}/points")
+            self._check_frame(rows, f"{self.path}/{folder}/tails")
+        except Exception:
+            self.files.delete(folder)
+            raise
+        tails = self.spark.read.schema("series string, head long, tail long").parquet(f"{self.path}/{folder}/tails")
+        self._frames.append((folder, rows.select("series", "ts", "value", "nan_bits"), tails))
+        self._tails.clear()
+
+    def _check_frame(self, rows: DataFrame, tails: str) -> None:
+        if rows.where("series is null or series = '' or octet_length(series) > 65535 or ts is null or value is null").limit(1).count():
             raise err.BatchError("series, ts and value must be there, and names have 1 to 65535 bytes")
+        rows.groupBy("series").agg(F.min("ts").alias("head"), F.max("ts").alias("tail")).write.parquet(tails)
+        ends = self.spark.read.schema("series string, head long, tail long").parquet(tails)
         own = {s for s, _, _ in self._staged}
-        if own and head.where(F.col("series").isin(list(own))).limit(1).count() or self._frames and any(head.join(f.select("series").distinct(), "series", "left_semi").limit(1).count() for f in self._frames):
+        if own and ends.where(F.col("series").isin(list(own))).limit(1).count() or any(ends.join(f.select("series"), "series", "left_semi").limit(1).count() for _, _, f in self._frames):
             raise err.BatchError("a series of the frame has staged points already: checkpoint first")
-        if bad or late:
+        late = ends.join(self.reader.catalog().select("series", "ts_max"), "series").where("head <= ts_max").limit(1).count()
+        if late or S.order_violations(rows, series="series", pos="pos", ts="ts").limit(1).count():
             raise err.NotIncreasing("timestamps must increase, also over what is stored")
-        self._frames.append(rows.select("series", "ts", "value"))
-        self._tails.clear() if not self._staged else None
+
+    def _forget_frames(self) -> None:
+        for folder, _, _ in self._frames:
+            self.files.delete(folder)
+        self._frames = []
 
     def checkpoint(self, *, durability: str = "memory", batch: str | None = None) -> int:
-        """Publish what is staged as the next generation, and return its number; with nothing staged, no new generation."""
+        """Publish what is staged as the next generation, and return its number; with nothing staged, no new generation.
+
+        batch, as "stream:number", is kept in this and all later manifests as the stream's last batch; with it, a generation is published in any case.
+        """
         self._ready()
         if durability not in ("memory", "disk"):
             raise err.InvalidArguments("durability is memory or disk")
-        if not self._staged and not self._frames:
+        if not self._staged and not self._frames and batch is None:
             return self.generation
         try:
-            manifest = self._write(batch)
+            manifest = self._write() if self._staged or self._frames else self._next()
+            if batch is not None:
+                stream, _, number = batch.rpartition(":")
+                manifest["batches"] = manifest.get("batches", {}) | {stream: int(number)}
             self._publish(manifest, sync=durability == "disk")
         except Exception:
             self.poisoned = True
             raise
-        self._staged, self._frames = [], []
+        self._forget_frames()
+        self._staged = []
         self.reader.refresh()
         self.generation = self.reader.generation
         return self.generation
 
     def _rows(self) -> DataFrame:
-        frames = [f.withColumn("nan_bits", _nan_bits("value")) for f in self._frames]
+        frames = [f for _, f, _ in self._frames]
         if self._staged:
             t = np.concatenate([x[1] for x in self._staged])
             v = np.concatenate([x[2] for x in self._staged])
@@ -510,7 +572,17 @@ class Writer:
             rows = rows.unionByName(f)
         return rows
 
-    def _write(self, batch: str | None) -> dict:
+    def _next(self) -> dict:
+        """The next manifest, with what the newest one names."""
+        old = self.reader.manifest
+        return {k: v for k, v in old.items() if k not in ("sha256", "batch")} | {"generation": self.generation + 1, "previous": old["sha256"]}
+
+    def _segment(self, name: str, first: int) -> dict:
+        """What the manifest says of a segment: its files, and the generations whose points it has, from first to the next one."""
+        sha = digests(self.spark, self.path, [f"data/{name}", f"pages/{name}"])
+        return {"name": name, "codec": self.codec, "files": self.files.sizes(f"data/{name}"), "sha256": sha[f"data/{name}"], "pages": sha[f"pages/{name}"], "first": first, "last": self.generation + 1}
+
+    def _write(self) -> dict:
         old, n = self.reader.manifest, self.generation + 1
         segment = f"gen={n}-{uuid.uuid4().hex}"
         rows = self._rows()
@@ -527,7 +599,7 @@ class Writer:
         # pages are runs of a sorted partition, so that a long series needs no single task
         placed = placed.withColumn("page_no", F.floor(F.monotonically_increasing_id() / PAGE_POINTS).cast("long"))
         columns = [x.split()[0] for x in STORED.split(", ")]
-        writer = placed.select(*columns).write.option("compression", CODECS[self.codec])
+        writer = placed.select(*columns).write.option("compression", CODECS[self.codec]).option("maxRecordsPerFile", FILE_POINTS)
         writer.parquet(f"{self.path}/data/{segment}")
         written = self.spark.read.schema(STORED).parquet(f"{self.path}/data/{segment}")
         pages = written.groupBy("series_id", "series", "page_no").agg(*summary_exprs())
@@ -539,9 +611,9 @@ class Writer:
         name = f"gen={n}-{uuid.uuid4().hex}"
         merged.select(*summary).repartitionByRange("series").sortWithinPartitions("series").write.parquet(f"{self.path}/catalog/{name}")
         count, points = self.spark.read.schema(CATALOG).parquet(f"{self.path}/catalog/{name}").agg(F.count(F.lit(1)), F.sum("point_count")).first()
-        return {
-            "generation": n, "previous": old["sha256"], "catalog": name, "series_count": count, "point_count": points, "batch": batch,
-            "segments": [*old["segments"], {"name": segment, "codec": self.codec, "files": self.files.sizes(f"data/{segment}")}],
+        return self._next() | {
+            "catalog": name, "catalog_files": digests(self.spark, self.path, [f"catalog/{name}"])[f"catalog/{name}"], "series_count": count, "point_count": points,
+            "segments": [*old["segments"], self._segment(segment, n)],
         }
 
     def _publish(self, manifest: dict, *, sync: bool) -> None:
@@ -560,10 +632,10 @@ class Writer:
         segment = f"gen={n}-{uuid.uuid4().hex}"
         rows = self.reader.stored().drop("page_no").repartitionByRange("series_id", "ts").sortWithinPartitions("series_id", "ts")
         rows = rows.withColumn("page_no", F.floor(F.monotonically_increasing_id() / PAGE_POINTS).cast("long"))
-        rows.write.option("compression", CODECS[self.codec]).parquet(f"{self.path}/data/{segment}")
+        rows.write.option("compression", CODECS[self.codec]).option("maxRecordsPerFile", FILE_POINTS).parquet(f"{self.path}/data/{segment}")
         pages = self.spark.read.schema(STORED).parquet(f"{self.path}/data/{segment}").groupBy("series_id", "series", "page_no").agg(*summary_exprs())
         pages.withColumn("segment", F.lit(segment)).withColumn("codec", F.lit(self.codec)).write.parquet(f"{self.path}/pages/{segment}")
-        body = {k: v for k, v in old.items() if k != "sha256"} | {"generation": n, "previous": old["sha256"], "segments": [{"name": segment, "codec": self.codec, "files": self.files.sizes(f"data/{segment}")}]}
+        body = self._next() | {"segments": [self._segment(segment, min(s.get("first", n) for s in old["segments"]))]}
         self._publish(body, sync=True)
         self.reader.refresh()
         self.generation = n
@@ -584,20 +656,32 @@ class Writer:
     def abort(self) -> None:
         """Forget what is staged, and let others write."""
         if not self.closed:
-            self._staged, self._frames, self.closed = [], [], True
+            self._forget_frames()
+            self._staged, self.closed = [], True
             self._lock.release()
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """One row of counts and bounds, after a check of everything: manifest, files and sizes, order, overlaps and summaries.
 
-    Anything that doesn't hold raises IntegrityError; points are compared with their pages by one aggregation.
+    Anything that doesn't hold raises IntegrityError; every file's SHA-256 is taken again on the executors, and points are compared with their
+    pages by one aggregation.
     """
     reader = Reader(spark, path)
     m = reader.manifest
     for s in m["segments"]:
         if reader.files.sizes(f"data/{s['name']}") != s["files"]:
             raise err.IntegrityError(f"segment {s['name']} doesn't have the files and sizes of its manifest")
+    named = {f"{kind}/{s['name']}": s[key] for s in m["segments"] for kind, key in (("data", "sha256"), ("pages", "pages"))}
+    if m["catalog"]:
+        named[f"catalog/{m['catalog']}"] = m["catalog_files"]
+    try:
+        there = digests(spark, reader.path, list(named))
+    except Exception as e:
+        raise err.IntegrityError(f"stored files can't be read: {type(e).__name__}: {str(e)[:300]}") from e
+    for folder, files in named.items():
+        if there[folder] != files:
+            raise err.IntegrityError(f"files of {folder} aren't what was written")
     try:
         pages = reader.pages()
         real = reader.stored().withColumn("segment", F.element_at(F.split(F.input_file_name(), "/"), -2))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seriesframe.operators.scan import order_violations
-from seriesframe.sources.store import Reader, Writer
+from seriesframe.sources.store import CATALOG, STORED, Reader, Writer
 
 
 def split_late(points: DataFrame, catalog: DataFrame, *, pos: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -25,14 +25,17 @@ def split_late(points: DataFrame, catalog: DataFrame, *, pos: str | None = None)
 
 
 def batch_writer(path: str, *, codec: str = "compressed", durability: str = "disk", pos: str | None = None, reject: Callable[[DataFrame, int], None] | None = None, name: str = "stream") -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch.  A batch that is published already (its number is in the manifest) is skipped, so replays add nothing."""
+    """A function for foreachBatch.  A batch that is published already is skipped, so replays add nothing.
+
+    Manifests keep the last batch of each stream (by name), whoever publishes next; a batch of refused rows only is noted too.  reject is called
+    before its batch is published, so it may see a batch again after a crash in between.
+    """
 
     def write(frame: DataFrame, number: int) -> None:
         spark = frame.sparkSession
         mark = f"{name}:{number}"
         with Writer(spark, path, codec=codec) as writer:
-            last = writer.reader.manifest.get("batch")
-            if last and last.rpartition(":")[0] == name and int(last.rpartition(":")[2]) >= number:
+            if writer.reader.manifest.get("batches", {}).get(name, -1) >= number:
                 return
             points = frame
             if reject is not None:
@@ -40,7 +43,7 @@ def batch_writer(path: str, *, codec: str = "compressed", durability: str = "dis
                 reject(refused, number)
             if points.limit(1).count():
                 writer.append_frame(points, pos=pos)
-                writer.checkpoint(durability=durability, batch=mark)
+            writer.checkpoint(durability=durability, batch=mark)
 
     return write
 
@@ -52,9 +55,19 @@ def ingest(points: DataFrame, path: str, checkpoint: str, *, trigger: dict | Non
 
 
 def follow(spark: SparkSession, path: str, *, since: int = 1) -> DataFrame:
-    """Points that generations after `since` have added, from the segments of the newest one (compaction rewrites are one segment)."""
-    reader = Reader(spark, path)
-    segments = [s["name"] for s in reader.manifest["segments"] if int(s["name"].split("=")[1].split("-")[0]) > since]
-    from seriesframe.sources.store import STORED
+    """Points that generations after `since` have added, also where compaction has joined them with earlier ones.
 
-    return reader._table("data", segments, STORED).select("series", "ts", "value")
+    Segments hold points of a range of generations.  Of one that has earlier ones too, the points over each series' last timestamp as of
+    `since` are new, as series only grow.
+    """
+    reader = Reader(spark, path)
+    segments = [s for s in reader.manifest["segments"] if s["last"] > since]
+    columns = ["series", "ts", "value"]
+    new = reader._table("data", [s["name"] for s in segments if s["first"] > since], STORED).select(*columns)
+    mixed = [s["name"] for s in segments if s["first"] <= since]
+    if not mixed:
+        return new
+    then = reader.at(since)
+    old = reader._table("catalog", [then["catalog"]] if then["catalog"] else [], CATALOG).select("series_id", "ts_max")
+    rest = reader._table("data", mixed, STORED).join(old, "series_id", "left").where("ts_max is null or ts > ts_max").select(*columns)
+    return new.unionByName(rest)

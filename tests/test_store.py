@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesframe import cli
 from seriesframe import errors as err
@@ -218,3 +219,124 @@ def test_streaming(spark, path, tmp_path):
     r.refresh()
     assert {x.series for x in refused} == {"s"} and r.count("t", 0, 9) == 1 and r.count("s", 0, 99) == 10
     assert follow(spark, path, since=3).count() == 1
+
+
+def test_batches_after_frames(spark, path):
+    """Staged frames count for later batches, in both orders; a frame is read once."""
+    frame = spark.createDataFrame([("a", 10, 1.0), ("a", 20, 2.0), ("b", 5, 3.0)], "series string, ts long, value double")
+    with Writer(spark, path, create=True) as w:
+        w.append_frame(frame)
+        for ts in (10, 15, 20):
+            with pytest.raises(err.NotIncreasing):
+                w.append("a", ts, 9.0)
+        w.append("a", 21, 9.0)
+        with pytest.raises(err.NotIncreasing):
+            w.append("a", 21, 9.0)
+        w.append("c", 1, 0.0)
+        with pytest.raises(err.BatchError):
+            w.append_frame(frame.where("series = 'a'").withColumn("ts", F.col("ts") + 100))
+        with pytest.raises(err.BatchError):
+            w.append_frame(spark.createDataFrame([("c", 9, 1.0)], frame.schema))
+        with pytest.raises(err.NotIncreasing):
+            w.append_frame(spark.createDataFrame([("d", 9, 1.0), ("d", 9, 2.0)], frame.schema))
+        w.checkpoint()
+        with pytest.raises(err.NotIncreasing):
+            w.append("b", 5, 1.0)
+    assert [tuple(p) for p in Reader(spark, path).range("a", 0, 99)] == [(10, 1.0), (20, 2.0), (21, 9.0)]
+    assert verify(spark, path).first().record_count == 5 and not os.listdir(f"{path}/staged")
+
+
+def test_a_changed_byte_is_found(spark, path):
+    with Writer(spark, path, create=True, codec="raw") as w:
+        w.append_batch("a", list(range(1000)), [float(k) for k in range(1000)])
+    for folder in ("data", "pages", "catalog"):
+        name = next(os.path.join(d, f) for d, _, files in os.walk(f"{path}/{folder}") for f in files if f.endswith(".parquet"))
+        with open(name, "rb") as f:
+            data = bytearray(f.read())
+        place = data.find(struct.pack("<d", 500.0)) if folder == "data" else len(data) // 3
+        assert place > 0
+        data[place + 3] ^= 1
+        before = open(name, "rb").read()
+        os.remove(os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc"))
+        with open(name, "wb") as f:
+            f.write(data)
+        with pytest.raises(err.IntegrityError):
+            verify(spark, path)
+        with open(name, "wb") as f:
+            f.write(before)
+    assert verify(spark, path).count() == 1
+
+
+def test_following_a_compacted_store(spark, path):
+    with Writer(spark, path, create=True) as w:
+        w.append_batch("a", [1, 2], [1.0, 2.0])
+        w.append("b", 1, 1.0)
+        assert w.checkpoint() == 2
+        w.append("a", 3, 3.0)
+        assert w.checkpoint() == 3
+        w.append("c", 1, 4.0)
+        w.append("a", 9, 5.0)
+        assert w.checkpoint() == 4 and w.compact() == 5
+        w.append("a", 10, 6.0)
+        w.checkpoint()
+    new = {k: sorted((r.series, r.ts) for r in follow(spark, path, since=k).collect()) for k in (1, 2, 3, 4, 5, 6)}
+    last = [("a", 10)]
+    assert new[6] == [] and new[5] == new[4] == last and new[3] == sorted([("c", 1), ("a", 9), *last]) and new[2] == sorted([("a", 3), *new[3]])
+    assert new[1] == sorted([("a", 1), ("a", 2), ("b", 1), *new[2]])
+
+
+def test_streams_keep_their_marks(spark, path):
+    """Marks of several streams outlive other checkpoints; batches of refused rows only are noted too."""
+    schema = "series string, ts long, value double"
+    refused = []
+    one = batch_writer(path, name="one", reject=lambda frame, k: refused.append((k, frame.count())))
+    two = batch_writer(path, name="two")
+    one(spark.createDataFrame([("a", 1, 1.0)], schema), 0)
+    two(spark.createDataFrame([("b", 1, 1.0)], schema), 0)
+    with Writer(spark, path) as w:
+        w.append("z", 1, 1.0)
+    one(spark.createDataFrame([("a", 1, 1.0)], schema), 0)
+    two(spark.createDataFrame([("b", 1, 1.0)], schema), 0)
+    one(spark.createDataFrame([("a", 1, 7.0)], schema), 1)
+    one(spark.createDataFrame([("a", 1, 7.0)], schema), 1)
+    assert refused == [(0, 0), (1, 1)]
+    r = Reader(spark, path)
+    assert sorted((p.series, p.ts, p.value) for p in r.points().collect()) == [("a", 1, 1.0), ("b", 1, 1.0), ("z", 1, 1.0)] and r.manifest["batches"] == {"one": 1, "two": 0}
+
+
+def test_lookups_and_windows_by_pages(spark, path, monkeypatch):
+    """Against plain loops over points, in several pages and segments, with NaNs, infinities and the ends of the 64-bit domain."""
+    from seriesframe.plans import covered
+    from seriesframe.sources import store
+
+    monkeypatch.setattr(store, "PAGE_POINTS", 7)
+    ts = [-(2**63), -500, *range(0, 300, 3), 1000, 2**63 - 1]
+    odd = [float("nan"), float("inf"), -0.0, float("-inf"), 2.5]
+    points = [(t, odd[k % 5] if k % 3 == 0 else float(k)) for k, t in enumerate(ts)]
+    with Writer(spark, path, create=True) as w:
+        for part in (points[:40], points[40:45], points[45:]):
+            w.append_batch("a", [t for t, _ in part], [v for _, v in part])
+            w.append_batch("b", [t // 2 for t, _ in part], [0.0] * len(part))
+            w.checkpoint()
+    r = Reader(spark, path)
+    assert r.pages().count() > 30
+    for target in (-(2**63), -(2**63) + 1, -1, 0, 121, 122, 299, 650, 651, 2**63 - 2, 2**63 - 1):
+        before, after = max((t for t in ts if t <= target), default=None), min((t for t in ts if t >= target), default=None)
+        near = before if after is None or before is not None and target - before <= after - target else after
+        want = {LookupMode.EXACT: target if target in ts else None, LookupMode.PREDECESSOR: before, LookupMode.SUCCESSOR: after, LookupMode.NEAREST: near}
+        for mode, t in want.items():
+            found = r.lookup("a", target, mode)
+            assert (found and found.ts) == t and (t is None or bits_of(found.value) == bits_of(dict(points)[t]))
+    same = lambda a, b: a == b or a != a and b != b
+    for limit in (covered.RANGES, 2):
+        monkeypatch.setattr(covered, "RANGES", limit)
+        for start, end, size in ((0, 299, 60), (-7, 260, 21), (5, 1200, 2)):
+            frame, required = r.windows("a", start, end, size)
+            got = {x.bucket: x for x in frame.collect()}
+            assert required == len(got) == (end - start) // size + 1
+            for k, x in got.items():
+                inside = [(t, v) for t, v in points if start + k * size <= t <= min(end, start + k * size + size - 1)]
+                numbers = [v for _, v in inside if v == v]
+                nan = float("nan")
+                want = (len(inside), min(numbers, default=nan), max(numbers, default=nan), sum(numbers), inside[0][1] if inside else nan, inside[-1][1] if inside else nan)
+                assert all(same(a, b) for a, b in zip((x["count"], x.minimum, x.maximum, x.sum, x["first"], x["last"]), want, strict=True))
