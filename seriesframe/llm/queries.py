@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, neardup, ogg, quality, spm, substring, toxicity, training
+from seriesframe.llm import fingerprint, htmlmain, licenses, mixing, neardup, ogg, quality, spm, substring, tables, toxicity, training
 
 PER_CLASS = 20_000  # training label rows of each class, at most
 
@@ -56,7 +56,9 @@ def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return fingerprint.compare_neighbours(docs, matched=fingerprint.matches(docs))
+    matched = fingerprint.matches(docs)
+    tables.release(spark)  # before the texts are dealt
+    return fingerprint.compare_neighbours(docs, matched=matched)
 
 
 def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ They cut the lineage: a lost executor costs the current step only.  Columns are
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,12 @@ class Workspace:
                 files.delete(status.getPath(), True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries removed: Spark does so when the driver's JVM collects their plans, which may be long after."""
+    gc.collect()  # Python's references to them first
+    spark._jvm.System.gc()
+
+
 def pick(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is in ids (distinct, saved): by a broadcast of BROADCAST_IDS ids at most, else by a shuffle."""
     if ids.count() <= BROADCAST_IDS:
