@@ -38,10 +38,10 @@ from seriesframe.llm import textcols as tc
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a worker remembers, at most: bytes of words and their ids (about WORD_BYTES a word, besides its text), pairs of pieces, and steps outside the trie.
-BYTES_KEPT, PAIRS_KEPT, STEPS_KEPT = 160 << 20, 1_000_000, 500_000
+BYTES_KEPT, PAIRS_KEPT, STEPS_KEPT = 64 << 20, 500_000, 200_000
 WORD_BYTES = 160
-#: Text bytes whose words are taken at once.
-PIECE_BYTES = 4 << 20
+#: Of words, what a worker keeps from one task to the next, at most.
+IDLE_BYTES = 16 << 20
 
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -381,9 +381,26 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[k]: where word k-1 ends in flat
+        self.uses = np.zeros(0, np.int64)
         self.count = 0
         self.chars = 0
 
+    def trim(self, most: int) -> None:
+        """Forget rare words, so that about `most` bytes stay."""
+        order, least = list(self.index), 2  # by number
+        lengths = np.fromiter(map(len, order), np.int64, len(order))
+        kept = np.flatnonzero(self.uses >= least)
+        while len(kept) * WORD_BYTES + lengths[kept].sum() > most:
+            least *= 2
+            kept = np.flatnonzero(self.uses >= least)
+        starts, sizes = self.ends[kept], self.ends[kept + 1] - self.ends[kept]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        flat, uses = self.flat[np.repeat(starts - sums[:-1], sizes) + np.arange(sums[-1])], self.uses[kept]
+        self._forget()
+        self.index = {order[k]: i for i, k in enumerate(kept.tolist())}
+        self.flat, self.ends, self.uses = np.append(flat, np.int32(0)), sums, uses
+        self.count, self.chars = len(kept), int(lengths[kept].sum())
+
     def _learn(self, keys: set[str]) -> None:
         if len(self.stable) > PAIRS_KEPT:
             self.stable.clear()
@@ -432,7 +449,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts."""
         if len(self.index) * WORD_BYTES + self.chars + self.flat.nbytes > BYTES_KEPT:
-            self._forget()
+            self.trim(BYTES_KEPT // 2)
         split = [self._keys(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         keys = list(chain.from_iterable(split))
@@ -441,6 +458,9 @@ class Encoder:
         if unknown:
             self._learn({keys[k] for k in unknown})
             at[unknown] = [self.index[keys[k]] for k in unknown]
+        uses = np.bincount(at, minlength=self.count)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
@@ -492,7 +512,7 @@ def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: li
         encoder = _cache("encoder", model.digest, lambda: Encoder(model))
         for batch in batches:
             column = tc.column(batch, text)
-            for a, b in tc.pieces(column, PIECE_BYTES):
+            for a, b in tc.pieces(column):
                 texts = column.slice(a, b - a).to_pylist()
                 ids, offsets = encoder.encode(texts)
                 arrays = [*(batch.column(c).slice(a, b - a) for c in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
@@ -500,6 +520,7 @@ def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: li
                     back = decode_all(model, ids, offsets)
                     arrays += [pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *extra])
+        encoder.trim(IDLE_BYTES)
 
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
     if verify:
