@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.llm import textcols as tc
-from seriesframe.llm.tables import Workspace, pick
+from seriesframe.llm.tables import Workspace, pick, small_batches
 
 WORDS = 5
 SLOTS = 64
@@ -108,6 +108,7 @@ def with_signature(docs: DataFrame, *, text: str = "text", slots: int = SLOTS, s
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * slots, pa.int32()), pa.array(s.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, signature_col])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(signature_col, T.ArrayType(T.LongType()))]))
 
 

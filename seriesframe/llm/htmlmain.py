@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.llm import textcols as tc
+from seriesframe.llm.tables import small_batches
 
 # ---- blocks -------------------------------------------------------------------------------------------
 
@@ -421,6 +422,7 @@ def default_model(count: int = 400, seed: int = 7) -> Model:
 
 def extract(pages: DataFrame, model: Model, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each row."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
     def run(batches):

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesframe.llm import textcols as tc
+from seriesframe.llm.tables import small_batches
 
 RATE = 8000
 PACKET = 16000  # samples of a packet: 63 lacing values, so that packets cross pages
@@ -235,6 +236,7 @@ def media_column(docs: DataFrame, *, text: str = "text", media_col: str = "media
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(media, pa.binary())], [*keep, media_col])
 
     keep = [c for c in docs.columns if c != media_col]
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(media_col, T.BinaryType())]))
 
 
@@ -256,6 +258,7 @@ def read_media(frame: DataFrame, *, media: str = "media", payload_col: str = "pa
             arrays = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], [*keep, payload_col, feature_col])
 
+    small_batches(frame.sparkSession)
     return frame.mapInArrow(run, T.StructType([*(frame.schema[c] for c in keep), T.StructField(payload_col, T.BinaryType()), T.StructField(feature_col, T.StringType())]))
 
 
@@ -275,4 +278,5 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, f"doc_id long, {SCHEMA}")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.llm import textcols as tc
+from seriesframe.llm.tables import small_batches
 
 #: Features are rounded to 1/GRID and clipped to +-LIMIT: sums of products fit 64 bits for 3e10 rows.
 GRID, LIMIT = 1024, 16.0
@@ -173,6 +174,7 @@ def _moments(batches):
 def fit(texts: DataFrame, *, text: str = "text", label: str = "label", shrink_pool: float = 0.1, shrink_diag: float = 0.1, floor: float = 0.01) -> Model:
     """Fit on every row of texts whose label is 0 or 1.  Only sums come to the driver: one fixed-size vector."""
     rows = texts.where(F.col(label).isin(0, 1)).select(F.col(text).alias("_t"), F.col(label).cast("int").alias("_y"))
+    small_batches(texts.sparkSession)
     sums = rows.mapInArrow(_moments, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     d = len(NAMES)
     flat = np.zeros(2 * (1 + d + d * d))
@@ -185,6 +187,7 @@ def fit(texts: DataFrame, *, text: str = "text", label: str = "label", shrink_po
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.7, temperature: float = 1.0, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """The columns `keep` of docs (default: all but clashing ones), with score (0 to 1, 6 decimals) and predicted (score >= threshold)."""
     keep = [c for c in docs.columns if c not in (score_col, predicted_col)] if keep is None else keep
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kB, whatever the data
 
     def run(batches):

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.llm import textcols as tc
+from seriesframe.llm.tables import small_batches
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -505,6 +506,7 @@ def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: li
 
     extra = [ids_col, *(["n_tokens", "decoded_sha256", "exact"] if verify else [])]
     keep = [c for c in docs.columns if c not in extra] if keep is None else keep
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary
 
     def run(batches):
@@ -521,6 +523,7 @@ def encode_column(docs: DataFrame, model: Model, *, text: str = "text", keep: li
                     arrays += [pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *extra])
         encoder.trim(IDLE_BYTES)
+        tc.give_back()
 
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
     if verify:
@@ -533,6 +536,7 @@ def decode_column(frame: DataFrame, model: Model, *, ids: str = "ids", text_col:
     from pyspark.sql import types as T
 
     keep = [c for c in frame.columns if c != text_col]
+    small_batches(frame.sparkSession)
     shared = frame.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -6,6 +6,7 @@ They cut the lineage: a lost executor costs the current step only.  Columns are
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Ids that are broadcast to pick documents, at most (8 bytes each); beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Bytes of one Arrow batch between Spark and its Python workers, at most (and one row at least).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session cut Arrow batches at BATCH_BYTES, where it allows larger ones.
+
+    Spark cuts at 10,000 rows and 64 MB; with long texts each task would hold a few times that, in its executor's direct memory and in its worker.
+    """
+    given = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(_BATCH).strip().lower())
+    if not given or not int(given[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[given[2]] <= BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def unused(frame: DataFrame, stem: str) -> str:
     """A prefix that no column's name has, so that names of our own clash with none (Spark's names know no case)."""
     while any(c.lower().startswith(stem) for c in frame.columns):
@@ -39,6 +53,7 @@ class Workspace:
     """Names and paths of one run's tables."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,15 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task that held much: idle workers stay, beside those at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     """A text column with nulls as empty texts."""
     array = batch.column(name)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesframe.llm import textcols as tc
-from seriesframe.llm.tables import Workspace
+from seriesframe.llm.tables import Workspace, small_batches
 
 BITS = 20
 SIZES = (4, 5)
@@ -229,6 +229,7 @@ def fit(training: DataFrame, *, significance: float = 10.83, least: int = 3, smo
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """The columns `keep` of docs (default: all but clashing ones), with score and predicted (score >= threshold)."""
     keep = [c for c in docs.columns if c not in (score_col, predicted_col)] if keep is None else keep
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -361,3 +361,24 @@ def test_unigram_against_all_segmentations():
     for w, ids in zip(words, np.split(flat, ends[:-1]), strict=True):
         score = sum(model.scores[i] if model.kinds[i] == 1 else model.unknown_score for i in ids)
         assert abs(score - best(w)[0]) < 1e-9 and spm.decode(model, ids) == w.replace("▁", " ")[1:]
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from seriesframe.llm import tables
+
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", tables.BATCH_BYTES
+    before = spark.conf.get(key)
+    try:
+        for given, then in (("64m", str(size)), (str(size), str(size)), ("1m", "1m"), ("2048k", "2048k"), ("1g", str(size))):
+            spark.conf.set(key, given)
+            tables.small_batches(spark)
+            assert spark.conf.get(key) == then
+        spark.conf.set(key, "64m")
+        tables.small_batches(spark)
+        texts = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 10000) as text")
+        sizes = texts.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert len(sizes) > 2 and max(r.n for r in sizes) < size * 1.2
+    finally:
+        spark.conf.set(key, before)
