@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from seriesframe.errors import InvalidArguments
 from seriesframe.functions.aggregates import aggregate_exprs, as_aggregate, empty_defaults, merge_exprs, summary_exprs
 from seriesframe.functions.scalars import bucket_of, wide
+from seriesframe.operators.chunks import CHUNK_POINTS, with_places
 from seriesframe.operators.scan import in_range, of_series, range_scan
 from seriesframe.types import PAGE_POINTS, check_long, check_ulong
 
@@ -81,10 +81,10 @@ def catalog_summary(points: DataFrame) -> DataFrame:
     return points.groupBy("series").agg(*summary_exprs())
 
 
-def page_summaries(points: DataFrame, page_points: int = PAGE_POINTS) -> DataFrame:
+def page_summaries(points: DataFrame, page_points: int = PAGE_POINTS, *, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """A summary of each run of page_points points of a series (page_no from 0)."""
-    place = F.row_number().over(W.partitionBy("series").orderBy("ts")) - 1
-    return points.withColumn("page_no", F.floor(place / page_points).cast("long")).groupBy("series", "page_no").agg(*summary_exprs())
+    placed = with_places(points, ["series"], "ts", "page_no", chunk_points)
+    return placed.withColumn("page_no", F.expr(f"page_no div {int(page_points)}")).groupBy("series", "page_no").agg(*summary_exprs())
 
 
 def merge_summaries(summaries: DataFrame, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Chart envelopes: per bucket, the original first, lowest, highest and last sample, with the breaks of the line between samples.
 
-Buckets are inclusive, ordered and disjoint.  Points are assigned to buckets by a vectorised search of the bucket starts; each bucket is
-reduced by one aggregation, so that tasks hold buckets and not series.  Time gaps and NaNs between the chosen samples are told from
-running counts, taken within buckets and added up over the (few) buckets.
+Buckets are inclusive, ordered and disjoint.  Points are assigned to buckets by a vectorised search of the bucket starts; buckets of long
+series are cut into cells (bucket and chunk), so that a task holds neither a series nor a wide bucket.  Time gaps and NaNs between the
+chosen samples are told from running counts, taken within cells and added up over the (few) cells.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from seriesframe.errors import InvalidArguments
 from seriesframe.functions.scalars import distance, wide
+from seriesframe.operators.chunks import CHUNK_POINTS, chunk_cuts, numbered
 from seriesframe.operators.scan import in_range, of_series
 from seriesframe.types import check_long, check_ulong
 
@@ -67,7 +68,7 @@ def _over(later: Column, earlier: Column, max_gap: int | None) -> Column:
     return F.coalesce(distance(later, earlier) > wide(max_gap), F.lit(False))
 
 
-def samples(points: DataFrame, bounds: Sequence[tuple[int, int]], *, max_gap: int | None = None, series: str | None = None) -> tuple[DataFrame, DataFrame]:
+def samples(points: DataFrame, bounds: Sequence[tuple[int, int]], *, max_gap: int | None = None, series: str | None = None, chunk_points: int = CHUNK_POINTS) -> tuple[DataFrame, DataFrame]:
     """(buckets, samples): non-empty buckets with their counts and flags, and the chosen samples with roles and breaks, for each series."""
     checked = check_bounds(bounds)
     if max_gap is not None:
@@ -78,14 +79,15 @@ def samples(points: DataFrame, bounds: Sequence[tuple[int, int]], *, max_gap: in
     else:
         rows = _assigned(rows.where(in_range(checked[0][0], checked[-1][1])), checked)
     component = F.element_at(F.array(*[F.lit(c) for _, _, c in checked] or [F.lit(0)]), F.col("bucket") + 1)
-    time = W.partitionBy("series", "bucket").orderBy("ts")
+    rows = numbered(rows, chunk_cuts(rows, ["series"], "ts", chunk_points), ["series"], "ts", "chunk")
+    time = W.partitionBy("series", "bucket", "chunk").orderBy("ts")
     running = time.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("isn", F.isnan("value")).withColumn("gap_in", _over(F.col("ts"), F.lag("ts").over(time), max_gap))
     rows = rows.withColumn("nan_in", F.sum(F.col("isn").cast("long")).over(running)).withColumn("gap_run", F.sum(F.col("gap_in").cast("long")).over(running))
     pt = F.struct("ts", "value", "nan_in", "gap_run")
     plain = F.when(~F.col("isn"), pt)
     value = F.when(~F.col("isn"), F.col("value") + 0.0)  # -0.0 and 0.0 are equal; the earlier one wins
-    reduced = rows.groupBy("series", "bucket").agg(
+    cells = rows.groupBy("series", "bucket", "chunk").agg(
         F.count(F.lit(1)).alias("stored_count"),
         F.count_if(~F.col("isn")).alias("numeric_count"),
         F.max("isn").alias("has_nan"),
@@ -99,20 +101,37 @@ def samples(points: DataFrame, bounds: Sequence[tuple[int, int]], *, max_gap: in
         F.max_by(plain, F.when(~F.col("isn"), F.struct(value, F.bitwise_not("ts")))).alias("p_maximum"),
         F.max_by(pt, "ts").alias("p_last"),
     )
-    over = W.partitionBy("series").orderBy("bucket")
+    over = W.partitionBy("series").orderBy("bucket", "chunk")
     earlier = over.rowsBetween(W.unboundedPreceding, -1)
-    reduced = reduced.withColumn("component", component)
+    cells = cells.withColumn("component", component)
     edge = (F.lag("component").over(over) == F.col("component")) & _over(F.col("b_first"), F.lag("b_last").over(over), max_gap)
-    reduced = reduced.withColumn("edge", F.coalesce(edge, F.lit(False)).cast("long"))
-    reduced = reduced.withColumn("nan_base", F.coalesce(F.sum("nan_all").over(earlier), F.lit(0)))
-    reduced = reduced.withColumn("gap_base", F.coalesce(F.sum(F.col("gap_all") + F.col("edge")).over(earlier), F.lit(0)) + F.col("edge"))
+    cells = cells.withColumn("edge", F.coalesce(edge, F.lit(False)).cast("long")).withColumn("joins", F.coalesce(F.lag("bucket").over(over) == F.col("bucket"), F.lit(False)))
+    cells = cells.withColumn("nan_base", F.coalesce(F.sum("nan_all").over(earlier), F.lit(0)))
+    cells = cells.withColumn("gap_base", F.coalesce(F.sum(F.col("gap_all") + F.col("edge")).over(earlier), F.lit(0)) + F.col("edge"))
+
+    def based(role: str) -> Column:
+        p = F.col(f"p_{role}")
+        return F.when(p.isNotNull(), F.struct(p.ts.alias("ts"), p.value.alias("value"), (F.col("nan_base") + p.nan_in).alias("nans"), (F.col("gap_base") + p.gap_run).alias("gaps")))
+
+    lowest, highest = F.col("p_minimum"), F.col("p_maximum")
+    reduced = cells.groupBy("series", "bucket").agg(
+        F.sum("stored_count").alias("stored_count"),
+        F.sum("numeric_count").alias("numeric_count"),
+        F.max("has_nan").alias("has_nan"),
+        F.max(F.col("has_internal_time_gap") | (F.col("joins") & (F.col("edge") == 1))).alias("has_internal_time_gap"),
+        F.first("component").alias("component"),
+        F.min_by(based("first"), "b_first").alias("p_first"),
+        F.min_by(based("minimum"), F.when(lowest.isNotNull(), F.struct(lowest.value + 0.0, lowest.ts))).alias("p_minimum"),
+        F.max_by(based("maximum"), F.when(highest.isNotNull(), F.struct(highest.value + 0.0, F.bitwise_not(highest.ts)))).alias("p_maximum"),
+        F.max_by(based("last"), "b_last").alias("p_last"),
+    )
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"p_{r}").alias("p")) for r in ROLES])
-    chosen = reduced.select("series", "bucket", "component", "nan_base", "gap_base", F.explode(roles).alias("x")).where("x.p is not null")
+    chosen = reduced.select("series", "bucket", "component", F.explode(roles).alias("x")).where("x.p is not null")
     chosen = chosen.groupBy("series", "bucket", F.col("x.p.ts").alias("ts")).agg(
         F.first("x.p.value").alias("value"),
         F.first("component").alias("component"),
-        F.first(F.col("nan_base") + F.col("x.p.nan_in")).alias("nans"),
-        F.first(F.col("gap_base") + F.col("x.p.gap_run")).alias("gaps"),
+        F.first("x.p.nans").alias("nans"),
+        F.first("x.p.gaps").alias("gaps"),
         *[F.max(F.col("x.role") == r).alias(f"is_{r}") for r in ROLES],
     )
     line = W.partitionBy("series").orderBy("ts")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from seriesframe.errors import InvalidArguments
 from seriesframe.functions.scalars import distance, wide
+from seriesframe.operators.chunks import CHUNK_POINTS, chunk_cuts, numbered
 from seriesframe.operators.scan import of_series
 from seriesframe.types import LookupMode, check_long, check_ulong
 
@@ -35,29 +36,25 @@ def lookup(points: DataFrame, series: str, target: int, mode: LookupMode, max_di
     return found if limit is None else found.where(distance(F.col("ts"), F.lit(target)) <= wide(limit))
 
 
-def lookup_batch(points: DataFrame, queries: DataFrame, *, mode: LookupMode | Column | None = None, max_distance: int | None = None, chunk_points: int = 1_000_000) -> DataFrame:
+def lookup_batch(points: DataFrame, queries: DataFrame, *, mode: LookupMode | Column | None = None, max_distance: int | None = None, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """query_id, series, target, ts and value of each query (query_id, series, target[, mode][, max_distance]).
 
-    Points and queries are merged by time within chunks of a series, and each chunk takes over the last point
+    Points and queries are merged by time within chunks of a series, cut at quantiles of its points, and each chunk takes over the last point
     before it and the first one after it from a small table of chunks; so a long series is spread over many tasks,
     and no range join is needed.
     """
-    low, high, n = points.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
-    width = max(1.0, (float(high) - float(low)) / max(1, -(-n // chunk_points))) if n else 1.0
-    chunk = lambda c: F.floor(F.col(c).cast("double") / F.lit(width)).cast("long")  # noqa: E731  monotonic in the timestamp, and can't overflow
     limit = F.col("max_distance") if "max_distance" in queries.columns else F.lit(None) if max_distance is None else wide(check_ulong("max_distance", max_distance))
     asked = queries.select(
         "series", F.col("target").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("struct<ts:bigint,value:double>").alias("pt"), "query_id",
         (mode if isinstance(mode, Column) else F.lit(int(LookupMode(mode))) if mode is not None else F.col("mode") if "mode" in queries.columns else _no_mode()).cast("int").alias("mode"),
         limit.cast("decimal(20,0)").alias("max_distance"),
-        chunk("target").alias("chunk"),
     )
     stored = points.join(F.broadcast(queries.select("series").distinct()), "series", "left_semi") if _few(queries) else points
     stored = stored.select(
         "series", F.col("ts").alias("t"), F.lit(0).alias("kind"), F.struct("ts", "value").alias("pt"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
-        F.lit(None).cast("int").alias("mode"), F.lit(None).cast("decimal(20,0)").alias("max_distance"), chunk("ts").alias("chunk"),
+        F.lit(None).cast("int").alias("mode"), F.lit(None).cast("decimal(20,0)").alias("max_distance"),
     )
-    both = stored.unionByName(asked)
+    both = numbered(stored.unionByName(asked), chunk_cuts(stored.select("series", "t"), ["series"], "t", chunk_points), ["series"], "t", "chunk")
     up = W.partitionBy("series", "chunk").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy("series", "chunk").orderBy(F.desc("t"), "kind").rowsBetween(W.unboundedPreceding, 0)
     near = both.withColumn("before", F.last("pt", ignorenulls=True).over(up)).withColumn("after", F.last("pt", ignorenulls=True).over(down)).where("kind = 1")

@@ -10,9 +10,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from seriesframe.errors import InvalidArguments
+from seriesframe.operators.chunks import CHUNK_POINTS, with_places, with_previous
 from seriesframe.types import LONG_MAX, check_long
 
 
@@ -54,13 +54,12 @@ def latest_timestamp(points: DataFrame, series: str | None = None) -> DataFrame:
     return of_series(points, series).groupBy("series").agg(F.max("ts").alias("ts"))
 
 
-def cursor_batches(points: DataFrame, series: str, start: int, end: int, size: int) -> DataFrame:
+def cursor_batches(points: DataFrame, series: str, start: int, end: int, size: int, *, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """Points with the number of the batch that a cursor of that size would return them in."""
     if size <= 0:
         raise InvalidArguments("a cursor's batch has one point at least")
     rows = range_scan(points, series, start, end, ordered=False)
-    place = F.row_number().over(W.partitionBy("series").orderBy("ts")) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("long"))
+    return with_places(rows, ["series"], "ts", "batch", chunk_points).withColumn("batch", F.expr(f"batch div {int(size)}"))
 
 
 def iterate(points: DataFrame, series: str, start: int, end: int, size: int) -> Iterator[list[tuple[int, float]]]:
@@ -88,9 +87,8 @@ def next_page(points: DataFrame, series: str, next_ts: int | None, end: int, siz
     return rows, rows[-1][0] + 1 if more else None
 
 
-def order_violations(rows: DataFrame, *, series: str | list[str], pos: str | list[str], ts: str) -> DataFrame:
+def order_violations(rows: DataFrame, *, series: str | list[str], pos: str | list[str], ts: str, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """Rows whose timestamp isn't over the one before in input order, with that one as previous_ts."""
     keys = [series] if isinstance(series, str) else series
     order = [pos] if isinstance(pos, str) else pos
-    before = F.lag(ts).over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("previous_ts", before).where(F.col("previous_ts") >= F.col(ts))
+    return with_previous(rows, keys, order, ts, "previous_ts", chunk_points).where(F.col("previous_ts") >= F.col(ts))

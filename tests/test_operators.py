@@ -162,14 +162,15 @@ def chart(points, bounds, gap):
     return counts, out
 
 
-def test_envelope_against_a_walk(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 1])
+def test_envelope_against_a_walk(spark, chunk):
     """All histories of up to 4 of 5 values, under three geometries and three gaps; one series each, in one job for each setting."""
     pool = [0.0, -0.0, 1.0, -1.0, NAN]
     histories = [h for n in range(5) for h in itertools.product(range(5), repeat=n)]
     rows = [(str(k), 4 * i, pool[v]) for k, h in enumerate(histories) for i, v in enumerate(h)]
     p = frame(spark, rows).cache()
     for bounds, gap in zip([[(-10, 30)], [(-10, 0), (1, 3), (4, 30)], [(-10, 0), (8, 30)]], [0, 4, None], strict=True):
-        counts, found = E.samples(p, bounds, max_gap=gap)
+        counts, found = E.samples(p, bounds, max_gap=gap, chunk_points=chunk)
         got: dict = {}
         for r in found.orderBy("series", "ts").collect():
             got.setdefault(r.series, []).append((r.bucket, r.ts, *[r[f"is_{x}"] for x in E.ROLES], *[r[f"break_{x}"] for x in E.BREAKS]))
@@ -203,6 +204,21 @@ def test_envelope_domain(spark):
     assert E.viewport(0, 9, 3) == [(0, 2), (3, 5), (6, 9)] and E.viewport(0, 1, 5) == [(0, 0), (1, 1)] and E.viewport(1, 0, 2) == []
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 7])
+def test_long_series_in_chunks(spark, chunk):
+    """Pages, batches and previous rows of series that are cut give what uncut ones give: outliers, ties of cuts, null keys and nulls included."""
+    rows = [("long", t, float(t % 11)) for t in [LOW, LOW + 1, *range(0, 400, 7), 10**15, 2**62 + 1, 2**62 + 2, HIGH]] + [("b", 5, 1.0), (None, 3, 2.0), (None, 1, NAN)]
+    p = frame(spark, rows)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert same(A.page_summaries(p, 4, chunk_points=chunk), A.page_summaries(p, 4))
+    for start, end in ((LOW, HIGH), (0, 100), (5, 4)):
+        assert same(S.cursor_batches(p, "long", start, end, 3, chunk_points=chunk), S.cursor_batches(p, "long", start, end, 3))
+    moved = [(k, n, i // 2, i % 2, None if i % 13 == 5 else (i * 7) % 23) for n, k in ((60, "a"), (9, None)) for i in range(n)]
+    q = spark.createDataFrame(moved, "series string, n int, pos long, sub int, ts long")
+    assert same(S.order_violations(q, series=["series", "n"], pos=["pos", "sub"], ts="ts", chunk_points=chunk), S.order_violations(q, series=["series", "n"], pos=["pos", "sub"], ts="ts"))
+    assert S.order_violations(q, series="series", pos=["pos", "sub"], ts="ts", chunk_points=chunk).count() > 5
+
+
 def test_order_violations(spark):
     rows = spark.createDataFrame([("a", 0, 1), ("a", 1, 3), ("a", 2, 3), ("a", 3, 2), ("b", 0, 9)], "series string, pos long, ts long")
     assert [(r.pos, r.previous_ts) for r in S.order_violations(rows, series="series", pos="pos", ts="ts").orderBy("pos").collect()] == [(2, 3), (3, 3)]
