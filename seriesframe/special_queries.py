@@ -60,10 +60,10 @@ def special_envelope_samples(spark, d):
 
 
 def special_lookups(spark, d):
-    """Nearest points within half the domain, for targets at its ends, at 0 and among the events."""
+    """Nearest points within half the domain, for targets at its ends, at 0 and among the events; ts as text, as some readers take longs with nulls for doubles."""
     key = F.col("query_id") % 4
     q = Q._targets(spark, d).withColumn("target", F.when(key == 0, F.lit(LONG_MIN)).when(key == 1, F.lit(LONG_MAX)).when(key == 2, F.lit(0)).otherwise(F.col("target")))
-    return _plain(lookup_batch(special_points(spark, d), q, mode=LookupMode.NEAREST, max_distance=LIMIT, chunk_points=CHUNK))
+    return _plain(lookup_batch(special_points(spark, d), q, mode=LookupMode.NEAREST, max_distance=LIMIT, chunk_points=CHUNK)).withColumn("ts", F.col("ts").cast("string"))
 
 
 def chunked_pages(spark, d):
@@ -137,7 +137,7 @@ p AS (SELECT t.query_id, t.series, t.target, e.ts AS p_ts, e.value AS p_value FR
 s AS (SELECT t.query_id, e.ts AS s_ts, e.value AS s_value FROM t ASOF LEFT JOIN ev e ON t.series = e.series AND t.target <= e.ts),
 c AS (SELECT *, s_ts IS NULL OR target::HUGEINT - p_ts <= s_ts::HUGEINT - target AS closer FROM p JOIN s USING (query_id)),
 f AS (SELECT query_id, series, target, CASE WHEN closer THEN p_ts ELSE s_ts END AS ts, CASE WHEN closer THEN p_value ELSE s_value END AS value FROM c)
-SELECT query_id, series, target, CASE WHEN ok THEN ts END AS ts, CASE WHEN ok AND NOT isnan(value) THEN value + 0.0 END AS value FROM (SELECT *, abs(target::HUGEINT - ts) <= {LIMIT} AS ok FROM f)"""
+SELECT query_id, series, target, CASE WHEN ok THEN CAST(ts AS VARCHAR) END AS ts, CASE WHEN ok AND NOT isnan(value) THEN value + 0.0 END AS value FROM (SELECT *, abs(target::HUGEINT - ts) <= {LIMIT} AS ok FROM f)"""
 ORACLE_SQL = {
     "special_aggregates": f"WITH {_SP} SELECT series, {_SIX} FROM ev GROUP BY series",
     "special_windows": f"WITH {_SP} {_windows_sql('domain', _MIN_SQL, str(LONG_MAX), 2**60, 16)} UNION ALL {_windows_sql('events', str(Q.START), str(Q.END), Q.RESOLUTION, Q._N)}",
