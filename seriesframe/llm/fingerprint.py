@@ -3,7 +3,7 @@
 A text's shingles are its runs of five words (fewer words: the whole sequence as one).  Slot i of the
 signature is the least value of a random universal hash (a_i x + b_i) mod 2**64, top 32 bits, over all
 shingles; the likeness of two fingerprints is the share of equal slots, an estimate of the Jaccard similarity.  Bands of signatures are
-joined in Spark, and the Jaccard similarities of what they bring together are verified on full sets (matches).
+joined in Spark, all members of a bucket with all, and the Jaccard similarities of what they bring together are verified on full sets (links).
 
 Defined cases: a null text counts as empty; a text without words has a fingerprint of its own kind, with likeness 1 to
 its like and 0 to all others; texts of any length are hashed whole, in pieces of bounded memory; repeated
@@ -19,8 +19,9 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from seriesframe.llm import textcols as tc
 from seriesframe.llm.tables import Workspace, pick, small_batches
@@ -28,6 +29,7 @@ from seriesframe.llm.tables import Workspace, pick, small_batches
 WORDS = 5
 SLOTS = 64
 BAND = 3  # slots of a band
+BUCKET = 4096  # classes of a band's bucket that are compared all with all, at most; those of larger ones meet by a prefix filter
 PARTS = 200_000  # ranges of ids, at most (1.6 MB of cut points); a part is streamed, so a larger one takes longer, not more memory
 _PIECE = 1 << 16  # shingles hashed at once: work areas that fit a cache
 
@@ -113,7 +115,8 @@ def with_signature(docs: DataFrame, *, text: str = "text", slots: int = SLOTS, s
 
 
 def _hash_all(slots: int, band: int):
-    """Per text: digest, number of distinct shingles, a 128-bit hash of their set, and the keys of the signature's bands."""
+    """Per text: digest, number of distinct shingles, a 128-bit hash of their set, its parity bitmap, and the keys of the signature's bands."""
+    from seriesframe.llm.neardup import BITMAP  # which imports this module
 
     def run(batches):
         for batch in batches:
@@ -130,8 +133,12 @@ def _hash_all(slots: int, band: int):
                         keys = (keys ^ s[:, k : k + band * keys.shape[1] : band]) * np.uint64(tc.BASE)
                     keys = tc.mix(keys).view(np.int64)
                 digests = [hashlib.md5(t.encode()).hexdigest() for t in part.to_pylist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(digests), pa.array(np.diff(first)), pa.array(one), pa.array(two), lists], ["id", "h", "n", "h1", "h2", "bands"])
+                odd = np.zeros((b - a) * 64 * BITMAP, np.uint8)
+                row = np.repeat(np.arange(b - a), np.diff(first))
+                np.add.at(odd, row * 64 * BITMAP + (h & np.uint64(64 * BITMAP - 1)).astype(np.int64), np.uint8(1))
+                bits = np.packbits(odd & np.uint8(1), bitorder="little").view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * (len(x) // (b - a)), pa.int32()), pa.array(x)) for x in (keys.ravel(), bits)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(digests), pa.array(np.diff(first)), pa.array(one), pa.array(two), *lists], ["id", "h", "n", "h1", "h2", "bands", "bits"])
 
     return run
 
@@ -162,36 +169,128 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["h1", "h2", "s"])
 
 
-def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, band: int = BAND, percent: int = 75) -> DataFrame:
-    """(doc_id, h, match_id, match_jaccard): for each document with a match, the least id among its matches, and the Jaccard similarity.
+def _meet(bands: int, percent: int):
+    """Pairs of the members x of each bucket of band k that can link: in the first band that both share only, if sizes and parity bitmaps allow it."""
+    from seriesframe.llm.neardup import BITMAP  # which imports this module
 
-    h is the md5 of the text.  Texts with equal shingle sets are one class and match its least id, with similarity 1.  Signatures are cut into bands;
-    classes with an equal band are candidates of the class with the least id among them, never all of all, so that a band's bucket costs as much
-    as it has members.  Candidates match if the Jaccard similarity of their full sets is percent or more.  A pair at 0.75 shares no band
-    of three slots of 64 with probability 1e-5.  Documents without words or id, and those that are the least of all they match, aren't in the result.
+    names = ("h1", "h2", "id", "size")
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("x")
+            first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            v = lists.flatten()
+            facts = {c: v.field(c).to_numpy() for c in (*names, "n")}
+            keys = v.field("bands").flatten().to_numpy().reshape(-1, bands)
+            bits = v.field("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
+            n, out, waiting = facts["n"], [], 0
+            for at, k in enumerate(batch.column("k").to_pylist()):
+                for p in range(first[at], first[at + 1], 128):
+                    x, y = slice(p, min(p + 128, first[at + 1])), slice(p, first[at + 1])
+                    near = np.arange(y.start, y.stop) > np.arange(x.start, x.stop)[:, None]
+                    near &= np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * percent
+                    for e in range(k):
+                        near &= keys[x, e][:, None] != keys[y, e]
+                    i, j = np.nonzero(near)
+                    for c in range(0, len(i), 1 << 15):
+                        a, b = i[c : c + (1 << 15)] + p, j[c : c + (1 << 15)] + p
+                        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                        total = n[a] + n[b]
+                        can = (total - apart) * (100 + percent) >= total * (2 * percent)
+                        out.append((a[can], b[can]))
+                        waiting += len(out[-1][0])
+                    if waiting > 1 << 16:
+                        yield ends(facts, out)
+                        out, waiting = [], 0
+            if out:
+                yield ends(facts, out)
+
+    def ends(facts: dict, out: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        h1, h2 = facts["h1"], facts["h2"]
+        swap = (h1[a] > h1[b]) | ((h1[a] == h1[b]) & (h2[a] > h2[b]))  # each pair in the order of _before()
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(facts[c][side]) for side in (a, b) for c in names], [f"{s}{c}" for s in "xy" for c in names])
+
+    return run
+
+
+def _met_in_prefixes(members: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """(x, y): pairs of members (classes, as structs in x) that can link, each once or more; no pair that links is left out.
+
+    Shingles are ordered by frequency, rare ones first; linked sets share one of their first n - ceil(percent * n) + 1 shingles.  The i and j shingles before the
+    first that both have differ, which bounds i + j; so one of the two places is in the front part of its set (strong).
+    """
+    from seriesframe.llm.neardup import _possible
+
+    parts = sets.join(members.select("x.h1", "x.h2"), ["h1", "h2"], "left_semi").select("h1", "h2", F.size("s").alias("n"), F.explode("s").alias("s"))
+    counts = work.save(parts.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    # shingles of one member only come first in the order; how many there are follows from the rest
+    common = parts.join(counts, "s").withColumn("r", F.row_number().over(W.partitionBy("h1", "h2", "n").orderBy(F.desc("df"), F.desc("s"))))
+    prefix = common.where(F.col("r") > F.ceil(F.col("n") * percent / 100) - 1).select("h1", "h2", "s", (F.col("n") - F.col("r")).alias("i"))
+    prefix = prefix.join(members.select("x", "x.h1", "x.h2"), ["h1", "h2"])
+    # written before the join: so both its sides are plain exchanges, and Spark splits the partition of a frequent shingle
+    prefix = work.save(prefix.select("s", "i", "x", (F.col("i") * (100 + percent) <= F.col("x.n") * (100 - percent)).alias("strong")), "prefix")
+    a = prefix.select("s", F.col("i"), "x", F.col("strong").cast("int").alias("only"))  # weak ones meet strong ones only
+    b = prefix.select(F.col("s"), F.col("i").alias("j"), F.col("x").alias("y"), F.explode(F.when(F.col("strong"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("only"))
+    early = (F.col("i") + F.col("j")) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    return a.join(b, ["s", "only"]).where(_before() & early & _possible(percent)).select("x", "y")
+
+
+def _before() -> Column:
+    """Whether x is the first of x and y: each pair of classes in one order only."""
+    return (F.col("x.h1") < F.col("y.h1")) | ((F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") < F.col("y.h2")))
+
+
+def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, band: int = BAND, percent: int = 75, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, h, class_id, n_links, match_id, match_jaccard) of each document that is linked: its Jaccard similarity to another one is percent or more.
+
+    h is the md5 of the text.  Texts with equal shingle sets are one class, named by its least id (class_id), so that copies are never expanded; n_links
+    counts all other documents that the document is linked with, copies too.  match_id is the least id among them, match_jaccard the similarity; both are null where
+    the document's own id isn't greater.
+
+    Signatures are cut into bands; all classes with an equal band are candidates of each other.  Buckets of over `bucket` classes aren't compared all with all: their classes meet
+    by a prefix filter, which drops no link.  Sizes and parity bitmaps rule out pairs that can't link; the others are verified on full sets.  A pair at 0.75 shares no band
+    of three slots of 64 with probability 1e-5; nothing else is left out.  Every link between classes is verified and counted, so k classes that are all linked
+    with each other cost k * k / 2 comparisons.  Documents without words or id are linked with nothing.
     """
     work = Workspace(docs.sparkSession, "matches")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where("id is not null")
-    hashed = work.save(rows.mapInArrow(_hash_all(slots, band), "id long, h string, n long, h1 long, h2 long, bands array<long>").where("n > 0"), "hashed")
-    classes = work.save(hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    me = F.struct(F.col("rep").alias("id"), "h1", "h2", "n")
-    keyed = classes.select(me.alias("x"), F.explode("bands").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("x").alias("c"), F.max("x").alias("d")).where("c < d").select("key", "c")
-    near = F.least("x.n", "c.n") * 100 >= F.greatest("x.n", "c.n") * percent
-    pairs = keyed.join(work.save(centres, "centres"), "key").where(F.col("x") != F.col("c")).where(near).select("x", "c").distinct()
-    pairs = work.save(pairs.select("x.h1", "x.h2", F.col("x.id").alias("xi"), F.col("c.h1").alias("k1"), F.col("c.h2").alias("k2"), F.col("c.id").alias("ci")), "pairs")
-    wanted = work.save(pairs.select(F.explode(F.array("xi", "ci")).alias("id")).distinct(), "wanted")
-    sets = pick(rows, wanted).mapInArrow(_sets, "h1 long, h2 long, s array<long>").groupBy("h1", "h2").agg(F.first("s").alias("s"))
+    hashed = work.save(rows.mapInArrow(_hash_all(slots, band), "id long, h string, n long, h1 long, h2 long, bands array<long>, bits array<long>").where("n > 0"), "hashed")
+    classes = work.save(hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in ("n", "bands", "bits")]), "classes")
+    named = classes.select("h1", "h2", F.posexplode("bands").alias("k", "key"))
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = work.save(named.join(work.save(several, "several"), "key"), "met")
+    facts = F.struct("h1", "h2", F.col("rep").alias("id"), "size", "n", "bits").alias("x")
+    ends = [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "xy" for k in ("h1", "h2", "id", "size")]
+    placed = met.where(F.col("members") <= bucket).join(classes, ["h1", "h2"]).groupBy("key", "k").agg(F.collect_list(F.struct("h1", "h2", F.col("rep").alias("id"), "size", "n", "bands", "bits")).alias("x"))
+    near = work.save(placed.select("k", "x").mapInArrow(_meet(slots // band, percent), ", ".join(f"{c}{k} long" for c in "xy" for k in ("h1", "h2", "id", "size"))), "near")
+    crowded = met.where(F.col("members") > bucket).select("h1", "h2").distinct()
+    crowded = work.save(classes.join(crowded, ["h1", "h2"], "left_semi").select(facts), "crowded")
+    wanted = near.select(F.explode(F.array("xid", "yid")).alias("id")).union(crowded.select("x.id")).distinct()
+    sets = pick(rows, work.save(wanted, "wanted")).mapInArrow(_sets, "h1 long, h2 long, s array<long>").where("size(s) > 0").groupBy("h1", "h2").agg(F.first("s").alias("s"))
     sets = work.save(sets, "sets")
-    both = pairs.join(sets.withColumnRenamed("s", "_a"), ["h1", "h2"]).join(sets.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("s").alias("_b")), ["k1", "k2"])
-    common = F.size(F.array_intersect("_a", "_b"))
-    both = both.select("h1", "h2", F.col("ci").alias("match_id"), common.alias("_n"), (F.size("_a") + F.size("_b") - common).alias("_u")).where(F.col("_n") * 100 >= F.col("_u") * percent)
-    found = both.groupBy("h1", "h2").agg(F.min(F.struct("match_id", (F.col("_n") / F.col("_u")).alias("match_jaccard"))).alias("m"))
-    named = classes.select("h1", "h2", "rep", "size").join(work.save(found, "found"), ["h1", "h2"], "left").where("size > 1 or m is not null")
+    pairs = near
+    if not crowded.isEmpty():
+        pairs = work.save(near.union(_met_in_prefixes(crowded, sets, work, percent).select(*ends)).distinct(), "pairs")
+    both = pairs.join(sets.select(F.col("h1").alias("xh1"), F.col("h2").alias("xh2"), F.col("s").alias("_a")), ["xh1", "xh2"])
+    both = both.join(sets.select(F.col("h1").alias("yh1"), F.col("h2").alias("yh2"), F.col("s").alias("_b")), ["yh1", "yh2"])
+    # generated, so that no filter takes the intersection a second time
+    both = both.withColumn("_n", F.explode(F.array(F.size(F.array_intersect("_a", "_b"))))).withColumn("_u", F.size("_a") + F.size("_b") - F.col("_n")).where(F.col("_n") * 100 >= F.col("_u") * percent)
+    ways = [F.struct(F.col(f"{a}h1").alias("h1"), F.col(f"{a}h2").alias("h2"), F.col(f"{b}id").alias("match_id"), F.col(f"{b}size").alias("size")) for a, b in ("xy", "yx")]
+    found = both.select(F.explode(F.array(*ways)).alias("w"), (F.col("_n") / F.col("_u")).alias("match_jaccard"))
+    found = found.groupBy("w.h1", "w.h2").agg(F.min(F.struct("w.match_id", "match_jaccard")).alias("m"), F.sum("w.size").alias("others"))
+    linked = classes.select("h1", "h2", "rep", "size").join(work.save(found, "found"), ["h1", "h2"], "left").where("size > 1 or m is not null")
     own = F.struct(F.col("rep").alias("match_id"), F.lit(1.0).alias("match_jaccard"))
     best = F.least(F.when(F.col("id") != F.col("rep"), own), "m")
-    out = hashed.select("id", "h", "h1", "h2").join(work.save(named, "named"), ["h1", "h2"]).select(F.col("id").alias("doc_id"), "h", best.alias("m"))
-    return work.last(out.where("m is not null").select("doc_id", "h", "m.match_id", "m.match_jaccard").distinct())
+    out = hashed.select("id", "h", "h1", "h2").join(work.save(linked, "linked"), ["h1", "h2"])
+    out = out.select("id", "h", "rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.when(best.match_id < F.col("id"), best).alias("m"))
+    return work.last(out.select(F.col("id").alias("doc_id"), "h", F.col("rep").alias("class_id"), "n_links", "m.match_id", "m.match_jaccard").distinct())
+
+
+def matches(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, h, match_id, match_jaccard): of links(), the documents that are linked with one of a lesser id."""
+    return links(docs, **options).where("match_id is not null").select("doc_id", "h", "match_id", "match_jaccard")
 
 
 # ---- each document, its edited text and the next document ------------------------------------------------
@@ -210,10 +309,11 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     the sketch works in doubles, so each range then ends at the greatest id that it really has (one more aggregate over the ids).  With more
     than PARTS times part_bytes of text, parts grow; the result is the same.
 
-    matched: rows of matches(), which are dealt alike and joined to their documents by merging; documents without one have nulls.
+    matched: rows of links() or matches(), which are dealt alike and joined to their documents by merging; documents without one have no match, are a class of
+    their own and linked with nothing.  Without links(), class_id and n_links are null.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, match_id long, match_jaccard double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, match_id long, match_jaccard double, class_id long, n_links long"
     low, high, size, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text")), F.max(F.col("doc_id").isNull())).first()
     spark = docs.sparkSession
     if size is None:
@@ -246,14 +346,17 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     heads = F.when(F.col("_at") % 2 == 1, F.struct((own + 1).alias("part"), F.lit(1).alias("role")))
     dealt = rows.withColumn("_to", F.explode(F.filter(F.array(F.struct(own.alias("part"), F.lit(0).alias("role")), heads, wraps), lambda x: x.isNotNull())))
     dealt = dealt.select("doc_id", "text", "_to.part", "_to.role", F.md5(F.col("text").cast("binary")).alias("_h"))
-    none = [F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("match_jaccard")]
-    dealt = dealt.select("*", *none)
+    none = {"match_id": "long", "match_jaccard": "double", "class_id": "long", "n_links": "long"}
+    dealt = dealt.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     if matched is not None:  # without text, before their documents
         at = F.shiftright(placed(np.array(cuts, np.int64)), 1)
-        own = matched.select("doc_id", F.lit(None).cast("string").alias("text"), at.alias("part"), F.lit(0).alias("role"), F.col("h").alias("_h"), "match_id", "match_jaccard")
+        told = [F.col(c) if c in matched.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
+        own = matched.select("doc_id", F.lit(None).cast("string").alias("text"), at.alias("part"), F.lit(0).alias("role"), F.col("h").alias("_h"), *told)
         dealt = dealt.unionByName(own)
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("part"), F.col("role"), F.col("doc_id").desc_nulls_last(), F.col("_h"), F.col("text").isNotNull())
 
+    counted = matched is not None and "n_links" in matched.columns
+
     def run(batches):
         def finish(rows: list[tuple[int | None, str, str, tuple]]) -> pa.RecordBatch:
             texts = pa.array([r[1] for r in rows], pa.large_string())
@@ -275,10 +378,12 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 pa.array(likeness(a, c)),
                 pa.array([r[3][0] for r in rows], pa.int64()),
                 pa.array([r[3][1] for r in rows], pa.float64()),
-            ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "match_id", "match_jaccard"])
+                pa.array([r[0] if counted and r[3][2] is None else r[3][2] for r in rows], pa.int64()),
+                pa.array([0 if counted and r[3][3] is None else r[3][3] for r in rows], pa.int64()),
+            ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *none])
 
         waiting: tuple[int | None, str, int, tuple] | None = None
-        match: tuple = (None, "", None, None)  # the last match that came, with its document's id and digest
+        match: tuple = (None, "")  # the last match that came, with its document's id and digest
         helped = False
 
         def complete(part: int | None) -> None:
@@ -289,7 +394,7 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             done: list[tuple[int | None, str, str, tuple]] = []
             weight = 0
-            for i, t, part, role, h, *m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "role", "_h", "match_id", "match_jaccard")), strict=True):
+            for i, t, part, role, h, *m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "role", "_h", *none)), strict=True):
                 if t is None:
                     match = (i, h, *m)
                     continue
@@ -301,7 +406,7 @@ def compare_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                         done, weight = [], 0
                 if role == 0:
                     complete(part)
-                    waiting, helped = (i, t, part, match[2:] if match[:2] == (i, h) else (None, None)), False
+                    waiting, helped = (i, t, part, match[2:] if match[:2] == (i, h) else (None,) * len(none)), False
                 else:
                     helped = True  # only the first helper of a range counts
             if done:

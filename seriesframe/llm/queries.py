@@ -56,7 +56,7 @@ def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    matched = fingerprint.matches(docs)
+    matched = fingerprint.links(docs)
     tables.release(spark)  # before the texts are dealt
     return fingerprint.compare_neighbours(docs, matched=matched)
 

@@ -255,6 +255,33 @@ def test_matches(spark, monkeypatch):
     assert {(r.doc_id, r.h): (r.match_id, r.match_jaccard) for r in fingerprint.matches(docs).collect()} == got
 
 
+@pytest.mark.parametrize("bucket", [fingerprint.BUCKET, 1])
+def test_links_past_the_centre(spark, bucket):
+    """Every pair that meets the threshold counts, also where the least of their bucket is like neither, in buckets of any size."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    head = [word() for _ in range(58)]  # not enough for a link: 54 shingles of 74
+    texts = [" ".join(head + [word() for _ in range(10)]) for _ in range(100)]
+    for _ in range(15):  # two shingles more are: 56 of 72
+        more = [word(), word()]
+        texts += [" ".join(head + more + [word() for _ in range(8)]) for _ in range(2)] * rng.choice([1, 1, 2])
+    rows = [(i * 3 + 1, t) for i, t in enumerate(texts)] + [(9000, None), (9001, " "), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [(i, exact_set(t)) for i, t in rows]
+    want = {}
+    for i, s in sets:
+        if i is not None:
+            near = {j: len(s & u) / len(s | u) for j, u in sets if j not in (i, None) and s and u and 100 * len(s & u) >= 75 * len(s | u)}
+            low = min([j for j in near if j < i], default=None)
+            want[i] = (min([j for j, u in sets if j is not None and u == s and s] + [i]), len(near), low, near.get(low))
+    assert sum(n > 0 for _, n, _, _ in want.values()) == len(texts) - 100
+    links = fingerprint.links(docs, bucket=bucket)
+    out = fingerprint.compare_neighbours(docs, matched=links, part_bytes=2000).collect()
+    assert {r.doc_id: (r.class_id, r.n_links, r.match_id, r.match_jaccard) for r in out if r.doc_id is not None} == want
+    assert [(r.class_id, r.n_links, r.match_id) for r in out if r.doc_id is None] == [(None, 0, None)]
+    assert {r.doc_id: r.match_id for r in fingerprint.matches(docs, bucket=bucket).collect()} == {i: m for i, (_, _, m, _) in want.items() if m is not None}
+
+
 def test_one_bucket_stays_linear(spark):
     """4,000 texts with one centre: candidates are as many as texts, not their square."""
     base = [f"w{i}" for i in range(40)]
