@@ -116,7 +116,7 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_t"))
-    hashed = work.save(rows.mapInArrow(_hash_all, "id long, n long, h1 long, h2 long, u array<long>, v array<long>, bits array<long>"), "hashed")
+    hashed = work.save(rows.mapInArrow(tc.frugal(_hash_all), "id long, n long, h1 long, h2 long, u array<long>, v array<long>, bits array<long>"), "hashed")
     some = hashed.where("n > 0 and id is not null")
     one = some.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("other"), *[F.first(c).alias(c) for c in ("n", "u", "v", "bits")])
     classes = work.save(one, "classes")
@@ -144,7 +144,7 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     large = buckets.where("size > 3").select("id")
     wanted = work.save(near.select(F.col("a").alias("id")).union(near.select("b")).union(large).distinct(), "wanted")
     texts = pick(rows.where("id is not null"), wanted)
-    sets = work.save(texts.mapInArrow(_shingle_rows, "id long, s array<long>").where("size(s) > 0"), "sets")
+    sets = work.save(texts.mapInArrow(tc.frugal(_shingle_rows), "id long, s array<long>").where("size(s) > 0"), "sets")
     links = work.save(_linked(near, sets, percent), "verified")
     label = components(links, work)
 

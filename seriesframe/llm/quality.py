@@ -175,7 +175,7 @@ def fit(texts: DataFrame, *, text: str = "text", label: str = "label", shrink_po
     """Fit on every row of texts whose label is 0 or 1.  Only sums come to the driver: one fixed-size vector."""
     rows = texts.where(F.col(label).isin(0, 1)).select(F.col(text).alias("_t"), F.col(label).cast("int").alias("_y"))
     small_batches(texts.sparkSession)
-    sums = rows.mapInArrow(_moments, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    sums = rows.mapInArrow(tc.frugal(_moments), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     d = len(NAMES)
     flat = np.zeros(2 * (1 + d + d * d))
     for k, v in sums:
@@ -203,4 +203,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
 
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tc.frugal(run), schema)

@@ -181,7 +181,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
         raise ValueError("a segment's windows must fit one mask of 62 bits: take longer anchors")
     work = Workspace(docs.sparkSession, "substring")
     rows = _keys(docs, doc_id, text)
-    segments = work.save(rows.mapInArrow(_segments(window, anchor), "id long, th long, g long, w long, at int, n int"), "segments")
+    segments = work.save(rows.mapInArrow(tc.frugal(_segments(window, anchor)), "id long, th long, g long, w long, at int, n int"), "segments")
     # written before the join: so both its sides are plain exchanges, and Spark splits the partition of an anchor that many segments have
     again = work.save(segments.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("g"), "again")
     segments = work.save(segments.join(again, "g", "left_semi"), "candidates")
@@ -190,20 +190,20 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window:
     own = segments.groupBy("g", "w").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("id", "th", "at", "n")).alias("x"))
     own = work.save(own.select("g", "w", "many", "x.*"), "own")
     wanted = own.groupBy("id", "th").agg(F.collect_list(F.struct("g", "w", "at", "n")).alias("segs"))
-    cut = rows.join(wanted, ["id", "th"]).select("_t", "segs").mapInArrow(_cut(window), "g long, w long, n int, words binary")
+    cut = rows.join(wanted, ["id", "th"]).select("_t", "segs").mapInArrow(tc.frugal(_cut(window)), "g long, w long, n int, words binary")
     different = cut.groupBy("g", "w").agg(F.first("n").alias("n"), F.first("words").alias("words")).join(own.select("g", "w", "many"), ["g", "w"])
     different = work.save(different, "different")
 
     split = different.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_above).select("g")
     split = work.save(split, "split")
-    single = work.save(different.join(split, "g", "left_semi").mapInArrow(_single(window), "sg long, sw long, k int, many long, g long, w long, words binary"), "single")
+    single = work.save(different.join(split, "g", "left_semi").mapInArrow(tc.frugal(_single(window)), "sg long, sw long, k int, many long, g long, w long, words binary"), "single")
     singles = single.groupBy("g", "w").agg(F.lit(1).alias("n"), F.sum("many").alias("many"), F.first("words").alias("words"))
     items = work.save(different.join(split, "g", "left_anti").select("g", "w", "n", "many", "words").unionByName(singles), "items")
     total = items.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = int(max(1, -(-total // shard_words)))
     tasks = min(shards, max(TASKS, -(-shards // SHARDS_IN_TASK)))
     dealt = items.withColumn("shard", _shard(shards)).repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "g", "w")
-    flags = work.save(dealt.mapInArrow(_search(window), "g long, w long, mask long"), "flags")
+    flags = work.save(dealt.mapInArrow(tc.frugal(_search(window)), "g long, w long, mask long"), "flags")
 
     back = single.select("sg", "sw", "k", "g", "w").join(flags.select("g", "w"), ["g", "w"]).groupBy("sg", "sw").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     flags = work.save(flags.join(split, "g", "left_anti").union(back.select("sg", "sw", "mask")), "all-flags")
@@ -262,7 +262,7 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
                 out.append((n, gone, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tc.frugal(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", window: int = WINDOW, **options) -> DataFrame:
@@ -280,4 +280,4 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_cha
                 new[n_chars] = pa.array([None if x is None else len(x) for x in out], pa.int64()).cast(batch.schema.field(n_chars).type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
 
-    return joined.mapInArrow(run, T.StructType([docs.schema[c] for c in columns]))
+    return joined.mapInArrow(tc.frugal(run), T.StructType([docs.schema[c] for c in columns]))

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes handled at once; bounds the memory of the numpy work areas whatever a batch holds.
-CHUNK_BYTES = 2 << 20
+#: Text bytes handled at once; bounds the memory of the numpy work areas (some 50 times as much) whatever a batch holds.
+CHUNK_BYTES = 1 << 20
 
 #: The white space that separates words: space and \t \n \v \f \r; a table by byte value.
 IS_SPACE = np.zeros(256, bool)
@@ -30,6 +30,16 @@ def give_back() -> None:
         pass
 
 
+def frugal(run):
+    """A function over Arrow batches that gives its memory back at the end of each task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     """A text column with nulls as empty texts."""
     array = batch.column(name)
