@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seriesframe.llm import textcols as tc
-from seriesframe.llm.tables import Workspace, pick, small_batches
+from seriesframe.llm.tables import Workspace, pick, release, small_batches
 
 WORDS = 5
 SLOTS = 64
 BAND = 3  # slots of a band
+CELL = 1 << 19  # shingles of a block of a bucket's classes; two blocks are verified at once
 BUCKET = 4096  # classes of a band's bucket that are compared all with all, at most; those of larger ones meet by a prefix filter
 PARTS = 200_000  # ranges of ids, at most (1.6 MB of cut points); a part is streamed, so a larger one takes longer, not more memory
 _PIECE = 1 << 16  # shingles hashed at once: work areas that fit a cache
@@ -169,8 +170,12 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["h1", "h2", "s"])
 
 
-def _meet(bands: int, percent: int):
-    """Pairs of the members x of each bucket of band k that can link: in the first band that both share only, if sizes and parity bitmaps allow it."""
+def _meet(bands: int, percent: int, cell: int):
+    """Members x of each bucket of band k that can link with another one, in cells: rows of a class's place in a cell, and its later partners there as bits of places.
+
+    Two members are partners in the first band that both share only, if sizes and parity bitmaps allow a link and not both are crowded.  A bucket's members are cut into blocks of
+    about `cell` shingles; each pair of blocks is a cell.  So rows are at most members times blocks, never pairs.
+    """
     from seriesframe.llm.neardup import BITMAP  # which imports this module
 
     names = ("h1", "h2", "id", "size")
@@ -181,36 +186,129 @@ def _meet(bands: int, percent: int):
             first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             v = lists.flatten()
             facts = {c: v.field(c).to_numpy() for c in (*names, "n")}
+            crowded = v.field("crowded").to_numpy(zero_copy_only=False)
             keys = v.field("bands").flatten().to_numpy().reshape(-1, bands)
             bits = v.field("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
             n, out, waiting = facts["n"], [], 0
-            for at, k in enumerate(batch.column("k").to_pylist()):
-                for p in range(first[at], first[at + 1], 128):
-                    x, y = slice(p, min(p + 128, first[at + 1])), slice(p, first[at + 1])
+            for at, (key, k) in enumerate(zip(batch.column("key").to_pylist(), batch.column("k").to_pylist(), strict=True)):
+                start, end = first[at], first[at + 1]
+                partners = None
+                for p in range(start, end, 128):
+                    x, y = slice(p, min(p + 128, end)), slice(p, end)
                     near = np.arange(y.start, y.stop) > np.arange(x.start, x.stop)[:, None]
                     near &= np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * percent
+                    near &= ~(crowded[x][:, None] & crowded[y])
                     for e in range(k):
                         near &= keys[x, e][:, None] != keys[y, e]
                     i, j = np.nonzero(near)
                     for c in range(0, len(i), 1 << 15):
-                        a, b = i[c : c + (1 << 15)] + p, j[c : c + (1 << 15)] + p
-                        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-                        total = n[a] + n[b]
-                        can = (total - apart) * (100 + percent) >= total * (2 * percent)
-                        out.append((a[can], b[can]))
-                        waiting += len(out[-1][0])
-                    if waiting > 1 << 16:
-                        yield ends(facts, out)
+                        a, b = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
+                        apart = np.bitwise_count(bits[a + p] ^ bits[b + p]).sum(axis=1, dtype=np.int64)
+                        total = n[a + p] + n[b + p]
+                        near[a, b] = (total - apart) * (100 + percent) >= total * (2 * percent)
+                    if near.any():
+                        if partners is None:
+                            partners = np.zeros((end - start, (end - start + 7) // 8), np.uint8)
+                        partners[x.start - start : x.stop - start] = np.packbits(np.pad(near, ((0, 0), (p - start, 0))), axis=1)
+                if partners is not None:
+                    for c, places, later in cells(n[start:end], partners):
+                        out.append((key, k, c, places + start, later))
+                        waiting += later.nbytes + 64 * len(places)
+                    if waiting > 1 << 20:
+                        yield rows(facts, out)
                         out, waiting = [], 0
             if out:
-                yield ends(facts, out)
+                yield rows(facts, out)
+
+    def cells(n: np.ndarray, partners: np.ndarray):
+        """(cell, members, their later partners as bits) of a bucket."""
+        block = (np.cumsum(n) - n) // cell
+        blocks = np.unique(block)
+        for i in blocks:
+            own = np.flatnonzero(block == i)
+            near = np.unpackbits(partners[own], axis=1, count=len(n)).view(bool)
+            for j in blocks[blocks >= i]:
+                there = np.flatnonzero(block == j)
+                part = near[:, there]
+                x, y = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                if not len(x):
+                    continue
+                if i == j:
+                    x = y = np.union1d(x, y)
+                    places, later = own[x], part[np.ix_(x, y)]
+                else:
+                    places = np.concatenate([own[x], there[y]])
+                    later = np.zeros((len(places), len(places)), bool)
+                    later[: len(x), len(x) :] = part[np.ix_(x, y)]
+                yield int(i) << 32 | int(j), places, np.packbits(later, axis=1)
+
+    def rows(facts: dict, out: list) -> pa.RecordBatch:
+        size = [len(x[3]) for x in out]
+        at = np.concatenate([x[3] for x in out])
+        of_cell = [pa.array(np.repeat(np.array([x[c] for x in out], np.int64), size)) for c in range(3)]
+        return pa.RecordBatch.from_arrays([
+            *of_cell, pa.array(np.concatenate([np.arange(m) for m in size])), *(pa.array(facts[c][at]) for c in names), pa.array([r.tobytes() for x in out for r in x[4]], pa.binary()),
+        ], ["key", "k", "cell", "place", *names, "later"])
+
+    return run
 
-    def ends(facts: dict, out: list) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        h1, h2 = facts["h1"], facts["h2"]
-        swap = (h1[a] > h1[b]) | ((h1[a] == h1[b]) & (h2[a] > h2[b]))  # each pair in the order of _before()
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(facts[c][side]) for side in (a, b) for c in names], [f"{s}{c}" for s in "xy" for c in names])
+
+def _count(percent: int):
+    """Cell by cell, as a task's rows come: each class that is linked in the cell, the least id that it is linked with there, their similarity, and the number of documents of the classes that it is linked with."""
+
+    def linked(part: pa.RecordBatch) -> pa.RecordBatch:
+        size, ids = part.column("size").to_numpy(), part.column("id").to_numpy()
+        m = len(ids)
+        if (part.column("place").to_numpy() != np.arange(m)).any():
+            raise RuntimeError(f"sets are missing in the cell of classes {ids[:10].tolist()}")
+        later = np.unpackbits(np.frombuffer(b"".join(part.column("later").to_pylist()), np.uint8).reshape(m, -1), axis=1, count=m).view(bool)
+        sets = part.column("s")
+        first = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        n = np.diff(first)
+        _, members = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(members), bool)
+        others, least, likeness = np.zeros(m, np.int64), np.full(m, np.iinfo(np.int64).max), np.full(m, np.inf)
+        for x in np.flatnonzero(later.any(axis=1)):
+            own, ys = members[first[x] : first[x + 1]], np.flatnonzero(later[x])
+            mark[own] = True
+            common = np.add.reduceat(mark[np.concatenate([members[first[y] : first[y + 1]] for y in ys])], np.cumsum(n[ys]) - n[ys], dtype=np.int64)
+            mark[own] = False
+            union = n[x] + n[ys] - common
+            near = common * 100 >= union * percent
+            if near.any():
+                ys, jaccard = ys[near], common[near] / union[near]
+                others[x] += size[ys].sum()
+                others[ys] += size[x]
+                k = np.lexsort((jaccard, ids[ys]))[0]
+                least[x], likeness[x] = min((least[x], likeness[x]), (ids[ys[k]], jaccard[k]))
+                less = (ids[x] < least[ys]) | ((ids[x] == least[ys]) & (jaccard < likeness[ys]))
+                least[ys[less]], likeness[ys[less]] = ids[x], jaccard[less]
+        some = np.flatnonzero(others)
+        keys = [pa.array(part.column(c).to_numpy()[some]) for c in ("h1", "h2")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(least[some]), pa.array(likeness[some]), pa.array(others[some])], ["h1", "h2", "match_id", "match_jaccard", "others"])
+
+    def run(batches):
+        parts, now = [], None
+        for batch in batches:
+            facts = [batch.column(c).to_numpy() for c in ("key", "k", "cell")]
+            new = np.zeros(batch.num_rows, bool)
+            for x in facts:
+                new[1:] |= x[1:] != x[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                of = tuple(int(x[a]) for x in facts)
+                if of != now and parts:
+                    yield linked(whole(parts))
+                    parts = []
+                now = of
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield linked(whole(parts))
+
+    def whole(parts: list) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     return run
 
@@ -242,7 +340,7 @@ def _before() -> Column:
     return (F.col("x.h1") < F.col("y.h1")) | ((F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") < F.col("y.h2")))
 
 
-def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, band: int = BAND, percent: int = 75, bucket: int = BUCKET) -> DataFrame:
+def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, band: int = BAND, percent: int = 75, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
     """(doc_id, h, class_id, n_links, match_id, match_jaccard) of each document that is linked: its Jaccard similarity to another one is percent or more.
 
     h is the md5 of the text.  Texts with equal shingle sets are one class, named by its least id (class_id), so that copies are never expanded; n_links
@@ -252,7 +350,8 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots:
     Signatures are cut into bands; all classes with an equal band are candidates of each other.  Buckets of over `bucket` classes aren't compared all with all: their classes meet
     by a prefix filter, which drops no link.  Sizes and parity bitmaps rule out pairs that can't link; the others are verified on full sets.  A pair at 0.75 shares no band
     of three slots of 64 with probability 1e-5; nothing else is left out.  Every link between classes is verified and counted, so k classes that are all linked
-    with each other cost k * k / 2 comparisons.  Documents without words or id are linked with nothing.
+    with each other cost k * k / 2 comparisons; but where a pair shares a bucket that isn't larger, it is no row of any table: sets go to the cells of their buckets
+    (`cell` shingles a block) and links are counted there, by class.  Documents without words or id are linked with nothing.
     """
     work = Workspace(docs.sparkSession, "matches")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where("id is not null")
@@ -263,23 +362,33 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", slots:
     met = work.save(named.join(work.save(several, "several"), "key"), "met")
     facts = F.struct("h1", "h2", F.col("rep").alias("id"), "size", "n", "bits").alias("x")
     ends = [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "xy" for k in ("h1", "h2", "id", "size")]
-    placed = met.where(F.col("members") <= bucket).join(classes, ["h1", "h2"]).groupBy("key", "k").agg(F.collect_list(F.struct("h1", "h2", F.col("rep").alias("id"), "size", "n", "bands", "bits")).alias("x"))
-    near = work.save(placed.select("k", "x").mapInArrow(_meet(slots // band, percent), ", ".join(f"{c}{k} long" for c in "xy" for k in ("h1", "h2", "id", "size"))), "near")
-    crowded = met.where(F.col("members") > bucket).select("h1", "h2").distinct()
-    crowded = work.save(classes.join(crowded, ["h1", "h2"], "left_semi").select(facts), "crowded")
-    wanted = near.select(F.explode(F.array("xid", "yid")).alias("id")).union(crowded.select("x.id")).distinct()
-    sets = pick(rows, work.save(wanted, "wanted")).mapInArrow(_sets, "h1 long, h2 long, s array<long>").where("size(s) > 0").groupBy("h1", "h2").agg(F.first("s").alias("s"))
-    sets = work.save(sets, "sets")
-    pairs = near
-    if not crowded.isEmpty():
-        pairs = work.save(near.union(_met_in_prefixes(crowded, sets, work, percent).select(*ends)).distinct(), "pairs")
-    both = pairs.join(sets.select(F.col("h1").alias("xh1"), F.col("h2").alias("xh2"), F.col("s").alias("_a")), ["xh1", "xh2"])
-    both = both.join(sets.select(F.col("h1").alias("yh1"), F.col("h2").alias("yh2"), F.col("s").alias("_b")), ["yh1", "yh2"])
-    # generated, so that no filter takes the intersection a second time
-    both = both.withColumn("_n", F.explode(F.array(F.size(F.array_intersect("_a", "_b"))))).withColumn("_u", F.size("_a") + F.size("_b") - F.col("_n")).where(F.col("_n") * 100 >= F.col("_u") * percent)
-    ways = [F.struct(F.col(f"{a}h1").alias("h1"), F.col(f"{a}h2").alias("h2"), F.col(f"{b}id").alias("match_id"), F.col(f"{b}size").alias("size")) for a, b in ("xy", "yx")]
-    found = both.select(F.explode(F.array(*ways)).alias("w"), (F.col("_n") / F.col("_u")).alias("match_jaccard"))
-    found = found.groupBy("w.h1", "w.h2").agg(F.min(F.struct("w.match_id", "match_jaccard")).alias("m"), F.sum("w.size").alias("others"))
+    large = work.save(met.where(F.col("members") > bucket).select("h1", "h2").distinct(), "large")
+    some_large = not large.isEmpty()
+    known = classes.withColumn("crowded", F.lit(False))
+    if some_large:
+        known = classes.join(large.withColumn("crowded", F.lit(True)), ["h1", "h2"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    placed = met.where(F.col("members") <= bucket).join(known, ["h1", "h2"]).groupBy("key", "k").agg(F.collect_list(F.struct("h1", "h2", F.col("rep").alias("id"), "size", "n", "bands", "bits", "crowded")).alias("x"))
+    cells = work.save(placed.mapInArrow(tc.frugal(_meet(slots // band, percent, cell)), "key long, k long, cell long, place long, h1 long, h2 long, id long, size long, later binary"), "cells")
+    release(docs.sparkSession)  # before the sets are dealt
+    wanted = cells.select("id")
+    if some_large:
+        crowded = work.save(classes.join(large, ["h1", "h2"], "left_semi").select(facts), "crowded")
+        wanted = wanted.union(crowded.select("x.id"))
+    sets = pick(rows, work.save(wanted.distinct(), "wanted")).mapInArrow(tc.frugal(_sets), "h1 long, h2 long, s array<long>").where("size(s) > 0").groupBy("h1", "h2").agg(F.first("s").alias("s"))
+    if some_large:
+        sets = work.save(sets, "sets")
+    # a set goes to each cell of its class; links are counted there, and no pair is a row
+    dealt = cells.join(sets, ["h1", "h2"]).repartition("key", "k", "cell").sortWithinPartitions("key", "k", "cell", "place")
+    found = dealt.mapInArrow(tc.frugal(_count(percent)), "h1 long, h2 long, match_id long, match_jaccard double, others long")
+    if some_large:
+        pairs = work.save(_met_in_prefixes(crowded, sets, work, percent).select(*ends).distinct(), "pairs")
+        both = pairs.join(sets.select(F.col("h1").alias("xh1"), F.col("h2").alias("xh2"), F.col("s").alias("_a")), ["xh1", "xh2"])
+        both = both.join(sets.select(F.col("h1").alias("yh1"), F.col("h2").alias("yh2"), F.col("s").alias("_b")), ["yh1", "yh2"])
+        # generated, so that no filter takes the intersection a second time
+        both = both.withColumn("_n", F.explode(F.array(F.size(F.array_intersect("_a", "_b"))))).withColumn("_u", F.size("_a") + F.size("_b") - F.col("_n")).where(F.col("_n") * 100 >= F.col("_u") * percent)
+        ways = [F.struct(F.col(f"{a}h1").alias("h1"), F.col(f"{a}h2").alias("h2"), F.col(f"{b}id").alias("match_id"), (F.col("_n") / F.col("_u")).alias("match_jaccard"), F.col(f"{b}size").alias("others")) for a, b in ("xy", "yx")]
+        found = found.unionByName(both.select(F.explode(F.array(*ways)).alias("w")).select("w.*"))
+    found = found.groupBy("h1", "h2").agg(F.min(F.struct("match_id", "match_jaccard")).alias("m"), F.sum("others").alias("others"))
     linked = classes.select("h1", "h2", "rep", "size").join(work.save(found, "found"), ["h1", "h2"], "left").where("size > 1 or m is not null")
     own = F.struct(F.col("rep").alias("match_id"), F.lit(1.0).alias("match_jaccard"))
     best = F.least(F.when(F.col("id") != F.col("rep"), own), "m")

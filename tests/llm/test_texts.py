@@ -282,6 +282,41 @@ def test_links_past_the_centre(spark, bucket):
     assert {r.doc_id: r.match_id for r in fingerprint.matches(docs, bucket=bucket).collect()} == {i: m for i, (_, _, m, _) in want.items() if m is not None}
 
 
+@pytest.mark.parametrize("cell", [fingerprint.CELL, 500])
+def test_links_are_no_rows(spark, monkeypatch, cell):
+    """300 texts all linked with each other, in cells of one or many blocks: no table holds their 44,850 pairs, and all links count."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        w[rng.randrange(1, 100)] = f"x{k}"
+        texts.append(" ".join(w))
+    rows = [(k * 3 + 1, t) for k, t in enumerate(texts)] + [(5000, texts[7]), (5001, texts[7]), (6000, "alone"), (6001, None)]
+    sets = [(i, exact_set(t)) for i, t in rows]
+    want = {}
+    for i, s in sets:
+        near = {j: len(s & u) / len(s | u) for j, u in sets if j != i and s and 100 * len(s & u) >= 75 * len(s | u)}
+        low = min([j for j in near if j < i], default=None)
+        if near:
+            want[i] = (min(j for j, u in sets if u == s), len(near), low, near.get(low))
+    assert sum(n for _, n, _, _ in want.values()) > 80_000
+    saved, save = {}, fingerprint.Workspace.save
+
+    def counted(self, frame, name):
+        out = save(self, frame, name)
+        saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(fingerprint.Workspace, "save", counted)
+    out = fingerprint.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), cell=cell).collect()
+    assert {r.doc_id: (r.class_id, r.n_links, r.match_id, r.match_jaccard) for r in out} == want
+    if cell == fingerprint.CELL:
+        assert max(saved.values()) <= 304 * (fingerprint.SLOTS // fingerprint.BAND)
+    else:
+        assert saved["cells"] > 3000  # many blocks
+
+
 def test_one_bucket_stays_linear(spark):
     """4,000 texts with one centre: candidates are as many as texts, not their square."""
     base = [f"w{i}" for i in range(40)]
