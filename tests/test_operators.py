@@ -227,3 +227,11 @@ def test_order_violations(spark):
 def test_scalars():
     assert encode_record(1, 2.0) == struct.pack("<qd", 1, 2.0)
     assert plain_number(100.0) == "100" and plain_number(0.1) == "0.1" and plain_number(1e21) == "1" + "0" * 21 and plain_number(5e-324).startswith("0.000") and plain_number(5e-324).endswith("5")
+
+
+@pytest.mark.parametrize("start,end", [(0, 99), (1, 5), (2, 2), (3, 7), (6, 9), (9, 3), (4, 4)])
+def test_covered_aggregate_with_equal_timestamps(spark, start, end):
+    p = frame(spark, [("a", k // 3, float(k // 3)) for k in range(30)] + [("a", 4, 4.0)] * 9)
+    for size in (1, 2, 4, 7):
+        got, want = covered_aggregate(p, A.page_summaries(p, size), "a", start, end).first(), A.range_aggregate(p, "a", start, end).first()
+        assert all(x == y or x != x and y != y for x, y in zip(got, want, strict=True))
