@@ -13,6 +13,9 @@ manifest is damaged, readers fall back to the newest one that is sound; if none
 Manifests hold the SHA-256 of every file that they name (data, pages and catalog), taken by Spark from what was written; verify() takes them again.
 Frames are written once to store/staged/ before they are checked, so that what is checked is what is published.
 
+Timestamps of a series increase strictly, unless the store was created with ties: then points of one generation may share timestamps and
+all are kept, in no order among themselves; a later generation still begins after what is published.
+
 Values keep their bits: Spark's writer makes all NaNs alike, so each NaN's bits are kept in nan_bits.
 """
 
@@ -40,7 +43,7 @@ from seriesframe.operators import aggregate as A
 from seriesframe.operators import envelope as E
 from seriesframe.operators import scan as S
 from seriesframe.operators.lookup import lookup, lookup_batch
-from seriesframe.plans.covered import covered_aggregate, covered_windows
+from seriesframe.plans.covered import covered_aggregate, covered_windows, in_runs
 from seriesframe.sources.files import Files, Lock
 from seriesframe.types import PAGE_POINTS, Aggregate, LookupMode, Point, check_long, check_name, check_ulong
 
@@ -283,9 +286,9 @@ class Reader:
             return 0
         if start <= row.ts_min and end >= row.ts_max:
             return row.point_count
-        pages = self.pages().where((F.col("series_id") == row.series_id) & (F.col("ts_max") >= start) & (F.col("ts_min") <= end))
-        whole, part = pages.agg(F.sum(F.when((F.col("ts_min") >= start) & (F.col("ts_max") <= end), F.col("point_count"))), F.count_if((F.col("ts_min") < start) | (F.col("ts_max") > end))).first()
-        cut = pages.where((F.col("ts_min") < start) | (F.col("ts_max") > end)).select("ts_min", "ts_max").collect() if part else []
+        pages = in_runs(self.pages().where((F.col("series_id") == row.series_id) & (F.col("ts_max") >= start) & (F.col("ts_min") <= end)))
+        whole, part = pages.agg(F.sum(F.when((F.col("low") >= start) & (F.col("high") <= end), F.col("point_count"))), F.count_if((F.col("low") < start) | (F.col("high") > end))).first()
+        cut = pages.where((F.col("low") < start) | (F.col("high") > end)).select("low", "high").distinct().collect() if part else []
         total = whole or 0
         for low, high in cut:
             total += self._own(row).where(S.in_range(max(low, start), min(high, end))).count()
@@ -342,7 +345,7 @@ class Reader:
             raise err.PageNotFound(f"no page of {row.series} holds {ts}")
         if page.codec != "raw":
             raise err.PageNotFound(f"the page of {row.series} that holds {ts} is compressed")
-        rows = self._table("data", [page.segment], STORED).where((F.col("series_id") == row.series_id) & S.in_range(page.ts_min, page.ts_max))
+        rows = self._table("data", [page.segment], STORED).where((F.col("series_id") == row.series_id) & (F.col("page_no") == page.page_no) & S.in_range(page.ts_min, page.ts_max))
         return rows.select("ts", _with_bits("value", "nan_bits").alias("value")).orderBy("ts").toArrow()
 
     def profile_range(self, series: str | SeriesHandle, start: int, end: int) -> Profile:
@@ -407,7 +410,7 @@ class Reader:
 class Writer:
     """The store's single writer: points are staged, and each checkpoint publishes a generation."""
 
-    def __init__(self, spark: SparkSession, path: str, *, codec: str = "compressed", create: bool | None = None, batch_size: int = 4096):
+    def __init__(self, spark: SparkSession, path: str, *, codec: str = "compressed", create: bool | None = None, batch_size: int = 4096, ties: bool | None = None):
         if codec not in CODECS:
             raise err.InvalidArguments(f"codec must be one of {', '.join(CODECS)}")
         if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size <= 0:
@@ -419,17 +422,21 @@ class Writer:
             raise err.StoreError("the store exists")
         if create is False and not there:
             raise err.StoreError("no store is there")
+        if there and ties is not None and ties != elect(self.files).get("ties", False):
+            raise err.StoreError("whether timestamps may be equal is settled when a store is created")
         self.files.make("_manifests")
         self._lock = Lock(self.files)
         self.poisoned, self.closed = False, False
         try:
             if not there:
-                self._publish({"generation": 1, "previous": None, "segments": [], "catalog": None, "catalog_files": {}, "series_count": 0, "point_count": 0, "batches": {}}, sync=False)
+                self._publish({"generation": 1, "previous": None, "segments": [], "catalog": None, "catalog_files": {}, "series_count": 0, "point_count": 0, "batches": {}} | ({"ties": True} if ties else {}), sync=False)
             self.reader = Reader(spark, path)
         except Exception:
             self._lock.release()
             raise
+        self.ties = self.reader.manifest.get("ties", False)
         self._tails: dict[str, int | None] = {}
+        self._begun: set[str] = set()  # series whose tail is staged
         self._staged: list[tuple[str, np.ndarray, np.ndarray]] = []
         self._frames: list[tuple[str, DataFrame, DataFrame]] = []  # folder, points, and the last timestamp of each series
         self.generation = self.reader.generation
@@ -456,6 +463,7 @@ class Writer:
             tails += [r.tail for _, _, f in self._frames for r in f.where(F.col("series") == series).collect()]
             if tails:
                 self._tails[series] = max(tails)
+                self._begun.add(series)
         return self._tails[series]
 
     def prepare(self, series: str, max_points: int) -> None:
@@ -481,10 +489,12 @@ class Writer:
                 check_long("ts", t)
         t, v = np.asarray(ts, np.int64), np.asarray(values, np.float64)
         tail = self._tail(series)
-        if (t[1:] <= t[:-1]).any() or tail is not None and int(t[0]) <= tail:
+        early = np.less if self.ties else np.less_equal
+        if early(t[1:], t[:-1]).any() or tail is not None and (int(t[0]) < tail or int(t[0]) == tail and not (self.ties and series in self._begun)):
             raise err.NotIncreasing(f"timestamps of {series} must increase")
         self._staged.append((series, t.copy(), v.copy()))
         self._tails[series] = int(t[-1])
+        self._begun.add(series)
 
     def append_many(self, series: str, points: Iterable[tuple[int, float]]) -> None:
         """Any number of points, submitted by batch_size: each batch is all or nothing."""
@@ -500,7 +510,7 @@ class Writer:
     def append_frame(self, points: DataFrame, *, pos: str | None = None) -> None:
         """Points (series, ts, value) of any size, checked by Spark before they are staged.
 
-        With pos, timestamps must increase in its order; without, the rows have no order of their own, and equal timestamps are refused.
+        With pos, timestamps must increase in its order; without, the rows have no order of their own, and equal timestamps are refused, but for stores with ties.
         """
         self._ready()
         rows = points.select("series", "ts", "value", F.col(pos).alias("pos") if pos else F.col("ts").alias("pos"), _nan_bits("value").alias("nan_bits"))
@@ -525,7 +535,8 @@ class Writer:
         if own and ends.where(F.col("series").isin(list(own))).limit(1).count() or any(ends.join(f.select("series"), "series", "left_semi").limit(1).count() for _, _, f in self._frames):
             raise err.BatchError("a series of the frame has staged points already: checkpoint first")
         late = ends.join(self.reader.catalog().select("series", "ts_max"), "series").where("head <= ts_max").limit(1).count()
-        if late or S.order_violations(rows, series="series", pos="pos", ts="ts").limit(1).count():
+        wrong = S.order_violations(rows, series="series", pos="pos", ts="ts")
+        if late or (wrong.where("previous_ts > ts") if self.ties else wrong).limit(1).count():
             raise err.NotIncreasing("timestamps must increase, also over what is stored")
 
     def _forget_frames(self) -> None:
@@ -554,6 +565,7 @@ class Writer:
             raise
         self._forget_frames()
         self._staged = []
+        self._begun.clear()
         self.reader.refresh()
         self.generation = self.reader.generation
         return self.generation
@@ -669,6 +681,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     """
     reader = Reader(spark, path)
     m = reader.manifest
+    ties = m.get("ties", False)
     for s in m["segments"]:
         if reader.files.sizes(f"data/{s['name']}") != s["files"]:
             raise err.IntegrityError(f"segment {s['name']} doesn't have the files and sizes of its manifest")
@@ -685,7 +698,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     try:
         pages = reader.pages()
         real = reader.stored().withColumn("segment", F.element_at(F.split(F.input_file_name(), "/"), -2))
-        real = real.groupBy("series_id", "series", "page_no", "segment").agg(*summary_exprs(), F.count_distinct("ts").alias("d"))
+        real = real.groupBy("series_id", "series", "page_no", "segment").agg(*summary_exprs(), (F.count(F.lit(1)) if ties else F.count_distinct("ts")).alias("d"))
         names = ["ts_min", "ts_max", "point_count", "v_min", "v_max", "v_first", "v_last"]
         same = F.lit(True)
         for c in names:
@@ -695,7 +708,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
         wrong = both.where(~F.coalesce(same, F.lit(False))).limit(1).count()
         from pyspark.sql import Window as W
 
-        overlap = pages.withColumn("before", F.lag("ts_max").over(W.partitionBy("series_id").orderBy("ts_min"))).where("before >= ts_min").limit(1).count()
+        overlap = pages.withColumn("before", F.lag("ts_max").over(W.partitionBy("series_id").orderBy("ts_min", "ts_max"))).where("before > ts_min" if ties else "before >= ts_min").limit(1).count()
         count, points, oldest, newest = reader.catalog().agg(F.count(F.lit(1)), F.sum("point_count"), F.min("ts_min"), F.max("ts_max")).first()
         blocks, packed, stored = pages.agg(F.count(F.lit(1)), F.count_if(F.col("codec") == "compressed"), F.sum("point_count")).first()
     except err.SeriesError:

@@ -56,7 +56,7 @@ def generations(spark, d) -> DataFrame:
     rows = points(spark, d)
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
     out = []
-    with Writer(spark, path, create=True) as w:
+    with Writer(spark, path, create=True, ties=True) as w:
         reader = Reader(spark, path)
         out.append((reader.generation, 0))
         for k in range(3):

@@ -15,10 +15,11 @@ from seriesframe.operators.scan import order_violations
 from seriesframe.sources.store import CATALOG, STORED, Reader, Writer
 
 
-def split_late(points: DataFrame, catalog: DataFrame, *, pos: str | None = None) -> tuple[DataFrame, DataFrame]:
+def split_late(points: DataFrame, catalog: DataFrame, *, pos: str | None = None, ties: bool = False) -> tuple[DataFrame, DataFrame]:
     """(series that go on in order, series that don't) of a batch: a batch of a series is taken whole or not at all."""
     ordered = points.withColumn("_pos", F.col(pos) if pos else F.col("ts"))
-    bad = order_violations(ordered, series="series", pos="_pos", ts="ts").select("series").distinct()
+    wrong = order_violations(ordered, series="series", pos="_pos", ts="ts")
+    bad = (wrong.where("previous_ts > ts") if ties else wrong).select("series").distinct()
     late = points.groupBy("series").agg(F.min("ts").alias("head")).join(catalog.select("series", "ts_max"), "series").where("head <= ts_max").select("series")
     refused = bad.union(late).distinct()
     return points.join(refused, "series", "left_anti"), points.join(refused, "series", "left_semi")
@@ -39,7 +40,7 @@ def batch_writer(path: str, *, codec: str = "compressed", durability: str = "dis
                 return
             points = frame
             if reject is not None:
-                points, refused = split_late(frame, writer.reader.catalog(), pos=pos)
+                points, refused = split_late(frame, writer.reader.catalog(), pos=pos, ties=writer.ties)
                 reject(refused, number)
             if points.limit(1).count():
                 writer.append_frame(points, pos=pos)

@@ -340,3 +340,53 @@ def test_lookups_and_windows_by_pages(spark, path, monkeypatch):
                 nan = float("nan")
                 want = (len(inside), min(numbers, default=nan), max(numbers, default=nan), sum(numbers), inside[0][1] if inside else nan, inside[-1][1] if inside else nan)
                 assert all(same(a, b) for a, b in zip((x["count"], x.minimum, x.maximum, x.sum, x["first"], x["last"]), want, strict=True))
+
+
+@pytest.fixture
+def thrice(spark, tmp_path):
+    """A folder with the smallest tables' events, each three times under other event ids, as `events`."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = events.count()
+    copies = events.crossJoin(spark.range(3).withColumnRenamed("id", "k"))
+    folder = str(tmp_path / "thrice")
+    copies.withColumn("event_id", F.col("event_id") + F.col("k") * rows).drop("k").write.parquet(f"{folder}/events.parquet")
+    return folder, copies.count()
+
+
+def same_as_sql(spark, folder, name):
+    """Rows of a store query and of its SQL."""
+    import duckdb
+
+    from seriesframe import special_queries, store_queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got = (store_queries.QUERIES | special_queries.QUERIES)[name](spark, folder)
+    want = con.execute((store_queries.ORACLE_SQL | special_queries.ORACLE_SQL)[name])
+    order = [d[0] for d in want.description]
+    text = lambda rows: sorted(map(repr, rows))
+    assert text(map(tuple, got.select(*order).collect())) == text(want.fetchall())
+
+
+def test_generations_with_equal_timestamps(spark, thrice):
+    same_as_sql(spark, thrice[0], "generations")
+
+
+def test_ties_are_a_choice(spark, path):
+    tied = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("a", 2, 2.0)], "series string, ts long, value double")
+    with Writer(spark, path, create=True) as w, pytest.raises(err.NotIncreasing):
+        w.append_frame(tied)
+    with pytest.raises(err.StoreError):
+        Writer(spark, path, ties=True)
+    with Writer(spark, f"{path}2", create=True, ties=True) as w:
+        w.append_frame(tied)
+        assert w.checkpoint() == 2
+        with pytest.raises(err.NotIncreasing):  # a later generation begins after what is published
+            w.append_frame(tied)
+        with pytest.raises(err.NotIncreasing):
+            w.append("a", 2, 9.0)
+        pos = tied.withColumn("pos", -F.col("ts")).withColumn("ts", F.col("ts") + 9)
+        with pytest.raises(err.NotIncreasing):
+            w.append_frame(pos, pos="pos")
+    with Writer(spark, f"{path}2") as w:
+        assert w.ties and w.reader.points().count() == 3
