@@ -390,3 +390,16 @@ def test_ties_are_a_choice(spark, path):
             w.append_frame(pos, pos="pos")
     with Writer(spark, f"{path}2") as w:
         assert w.ties and w.reader.points().count() == 3
+
+
+def test_aggregates_with_equal_timestamps(spark, thrice, path):
+    same_as_sql(spark, thrice[0], "store_aggregate")
+    t = sorted([k // 3 for k in range(20_000)] + [4000] * 9_000)
+    with Writer(spark, path, create=True, ties=True) as w:
+        w.append_batch("a", t, [1.0] * len(t))
+    r = Reader(spark, path)
+    for low, high in ((0, 9999), (1, 9999), (1362, 4000), (1363, 3999), (4000, 4000), (3000, 5000), (4001, 6000)):
+        n = sum(low <= x <= high for x in t)
+        assert r.count("a", low, high) == n and r.aggregate("a", low, high)[:4] == (n, 1.0, 1.0, float(n))
+        windows = {w.bucket: w["count"] for w in r.windows("a", low, high, 1500)[0].collect()}
+        assert windows == {b: sum(low + 1500 * b <= x < low + 1500 * (b + 1) and x <= high for x in t) for b in windows}
