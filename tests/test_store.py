@@ -403,3 +403,7 @@ def test_aggregates_with_equal_timestamps(spark, thrice, path):
         assert r.count("a", low, high) == n and r.aggregate("a", low, high)[:4] == (n, 1.0, 1.0, float(n))
         windows = {w.bucket: w["count"] for w in r.windows("a", low, high, 1500)[0].collect()}
         assert windows == {b: sum(low + 1500 * b <= x < low + 1500 * (b + 1) and x <= high for x in t) for b in windows}
+
+
+def test_catalog_with_equal_timestamps(spark, thrice):
+    same_as_sql(spark, thrice[0], "store_catalog")
