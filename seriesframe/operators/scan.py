@@ -6,7 +6,7 @@ reach the Parquet scan (partition and row-group pruning); only the columns in us
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,13 +76,31 @@ def iterate(points: DataFrame, series: str, start: int, end: int, size: int) ->
         yield batch
 
 
-def next_page(points: DataFrame, series: str, next_ts: int | None, end: int, size: int) -> tuple[list[tuple[int, float]], int | None]:
-    """A stateless cursor: up to `size` points from next_ts on, and where to go on (None: at the end)."""
+def place_after(place: int | tuple[int, int], rows: list[tuple[int, float]], following: int) -> int | tuple[int, int]:
+    """Where a stateless cursor goes on after rows (read from place on) if the next point is at `following`: past the last time, or within it."""
+    last = rows[-1][0]
+    if following > last:
+        return last + 1
+    n = sum(t == last for t, _ in rows)
+    return last, n + (place[1] if isinstance(place, tuple) and place[0] == last else 0)
+
+
+def next_page(points: DataFrame, series: str, next_ts: int | tuple[int, int] | None, end: int, size: int, ties: Sequence[str] = ()) -> tuple[list[tuple[int, float]], int | tuple[int, int] | None]:
+    """A stateless cursor: up to `size` points from next_ts on, and where to go on (None: at the end).
+
+    That is a time, or a time and a number if a batch ends among equal timestamps: of the points at that time so many come before.  Points at one
+    time are taken by value (and the columns `ties`), so that every call sees the same order.
+    """
     if size <= 0:
         raise InvalidArguments("a cursor's batch has one point at least")
-    if next_ts is None or end < next_ts:
+    at, skip = next_ts if isinstance(next_ts, tuple) else (next_ts, 0)
+    if at is None or end < at:
         return [], None
-    rows = [(r.ts, r.value) for r in range_prefix(points, series, next_ts, end, size).select("ts", "value").collect()]
+    rows = range_scan(points, series, at, end, ordered=False).orderBy("ts", "value", F.col("value").cast("string"), *ties)  # as text, zeros differ by sign
+    rows = [(r.ts, r.value) for r in rows.select("ts", "value").limit(skip + size + 1).offset(skip).collect()]
+    rows, following = rows[:size], rows[size:]
+    if following:
+        return rows, place_after(next_ts, rows, following[0][0])
     more = len(rows) == size and rows[-1][0] < min(end, LONG_MAX)
     return rows, rows[-1][0] + 1 if more else None
 

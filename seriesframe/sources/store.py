@@ -51,6 +51,8 @@ STORED = "series_id int, series string, ts long, value double, nan_bits long, pa
 PAGES = "series_id int, series string, page_no long, ts_min long, ts_max long, point_count long, v_min double, v_max double, v_sum double, v_first double, v_last double, segment string, codec string"
 CATALOG = "series_id int, series string, ts_min long, ts_max long, point_count long, v_min double, v_max double, v_sum double, v_first double, v_last double"
 FILE_POINTS = 20_000_000  # of one data file, at most: files stay far below 2 GB
+#: Points that a stateless cursor reads at a time, and cursors whose points are kept, at most.
+READ_AHEAD, CURSORS_AHEAD = 16_384, 8
 CODECS = {"raw": "none", "compressed": "zstd"}
 _BATCH = T.StructType([T.StructField("series", T.StringType(), False), T.StructField("pos", T.LongType(), False), T.StructField("ts", T.LongType(), False), T.StructField("value", T.DoubleType(), False), T.StructField("nan_bits", T.LongType())])
 
@@ -159,6 +161,7 @@ class Reader:
         self.generation = manifest["generation"]
         self.epoch += 1
         self._known: dict[str, tuple] = {}
+        self._ahead: dict[tuple, tuple] = {}  # points read for the next calls of stateless cursors, by number of the series, place and end
 
     def _alive(self) -> None:
         if self._closed:
@@ -321,10 +324,27 @@ class Reader:
                 raise err.StaleHandle(row.series)
             yield [Point(*p) for p in batch]
 
-    def cursor_next(self, series: str | SeriesHandle, next_ts: int | None, end: int, size: int) -> tuple[list[Point], int | None]:
+    def cursor_next(self, series: str | SeriesHandle, next_ts: int | tuple[int, int] | None, end: int, size: int) -> tuple[list[Point], int | tuple[int, int] | None]:
+        """A stateless cursor's batch from a place on, and the next place: a time, or within equal timestamps that time and how many of them to skip.
+
+        Points are read READ_AHEAD at a time; those after the batch are kept, for the cursor's next call, by place (few cursors at once, others read again).
+        """
         row = self._resolve(series)
-        rows, more = S.next_page(self._own(row, exact_bits=True), row.series, next_ts, end, size)
-        return [Point(*p) for p in rows], more
+        if size <= 0 or next_ts is None or not isinstance(next_ts, tuple) and end < next_ts:
+            return S.next_page(self._own(row), row.series, next_ts, end, size)
+        rows, after = self._ahead.pop((row.series_id, next_ts, end), ([], next_ts))
+        if len(rows) <= size and after is not None:
+            own = self.stored().where(F.col("series_id") == row.series_id).select("series", "ts", _with_bits("value", "nan_bits").alias("value"), "nan_bits")
+            more, after = S.next_page(own, row.series, after, end, max(size + 1, READ_AHEAD), ("nan_bits",))
+            rows = rows + more
+        batch, rest = rows[:size], rows[size:]
+        if not rest:
+            return [Point(*p) for p in batch], after
+        place = S.place_after(next_ts, batch, rest[0][0])
+        while len(self._ahead) >= CURSORS_AHEAD:
+            self._ahead.pop(next(iter(self._ahead)))
+        self._ahead[(row.series_id, place, end)] = (rest, after)
+        return [Point(*p) for p in batch], place
 
     def range_text(self, series: str | SeriesHandle, start: int, end: int, path: str) -> None:
         """Lines "timestamp value", in order, as text files under path."""
@@ -518,7 +538,7 @@ class Writer:
         try:
             rows.write.parquet(f"{self.path}/{folder}/points")
             rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}/points")
-            self._check_frame(rows, f"{self.path}/{folder}/tails")
+            self._check_frame(rows, f"{self.path}/{folder}/tails", ordered=pos is not None or not self.ties)
         except Exception:
             self.files.delete(folder)
             raise
@@ -526,7 +546,7 @@ class Writer:
         self._frames.append((folder, rows.select("series", "ts", "value", "nan_bits"), tails))
         self._tails.clear()
 
-    def _check_frame(self, rows: DataFrame, tails: str) -> None:
+    def _check_frame(self, rows: DataFrame, tails: str, *, ordered: bool) -> None:
         if rows.where("series is null or series = '' or octet_length(series) > 65535 or ts is null or value is null").limit(1).count():
             raise err.BatchError("series, ts and value must be there, and names have 1 to 65535 bytes")
         rows.groupBy("series").agg(F.min("ts").alias("head"), F.max("ts").alias("tail")).write.parquet(tails)
@@ -535,8 +555,8 @@ class Writer:
         if own and ends.where(F.col("series").isin(list(own))).limit(1).count() or any(ends.join(f.select("series"), "series", "left_semi").limit(1).count() for _, _, f in self._frames):
             raise err.BatchError("a series of the frame has staged points already: checkpoint first")
         late = ends.join(self.reader.catalog().select("series", "ts_max"), "series").where("head <= ts_max").limit(1).count()
-        wrong = S.order_violations(rows, series="series", pos="pos", ts="ts")
-        if late or (wrong.where("previous_ts > ts") if self.ties else wrong).limit(1).count():
+        wrong = S.order_violations(rows, series="series", pos="pos", ts="ts") if ordered else rows
+        if late or ordered and (wrong.where("previous_ts > ts") if self.ties else wrong).limit(1).count():
             raise err.NotIncreasing("timestamps must increase, also over what is stored")
 
     def _forget_frames(self) -> None:

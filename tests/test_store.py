@@ -407,3 +407,22 @@ def test_aggregates_with_equal_timestamps(spark, thrice, path):
 
 def test_catalog_with_equal_timestamps(spark, thrice):
     same_as_sql(spark, thrice[0], "store_catalog")
+
+
+def test_cursor_with_equal_timestamps(spark, thrice, path, monkeypatch):
+    from seriesframe.sources import store
+
+    same_as_sql(spark, thrice[0], "store_cursor")
+    t, v = [1, 2, 2, 2, 2, 2, 3, 4, 4], [0.0, -0.0, 0.0, value(NAN_BITS), float("nan"), -0.0, 1.0, 2.0, 1.0]
+    with Writer(spark, path, create=True, ties=True) as w:
+        w.append_batch("a", t, v)
+    for ahead in (1, 4, 100):
+        monkeypatch.setattr(store, "READ_AHEAD", ahead)
+        r = Reader(spark, path)
+        for size in (1, 2, 4, 9):
+            at, seen = 1, []
+            while at is not None:
+                rows, at = r.cursor_next("a", at, 4, size)
+                seen += rows
+            assert [p.ts for p in seen] == t and sorted(bits_of(p.value) for p in seen) == sorted(map(bits_of, v))
+    assert r.cursor_next("a", (2, 3), 4, 3)[1] == 4 and r.cursor_next("a", (2, 1), 4, 2)[1] == (2, 3)
