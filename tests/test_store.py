@@ -426,3 +426,11 @@ def test_cursor_with_equal_timestamps(spark, thrice, path, monkeypatch):
                 seen += rows
             assert [p.ts for p in seen] == t and sorted(bits_of(p.value) for p in seen) == sorted(map(bits_of, v))
     assert r.cursor_next("a", (2, 3), 4, 3)[1] == 4 and r.cursor_next("a", (2, 1), 4, 2)[1] == (2, 3)
+
+
+def test_verify_with_equal_timestamps(spark, thrice, path):
+    same_as_sql(spark, thrice[0], "verify_report")
+    # equal timestamps on both sides of a page's end, and whole pages of one
+    with Writer(spark, path, create=True, ties=True) as w:
+        w.append_batch("a", [5] * 10_000 + [6], [1.0] * 10_001)
+    assert verify(spark, path).first().record_count == 10_001
