@@ -434,3 +434,14 @@ def test_verify_with_equal_timestamps(spark, thrice, path):
     with Writer(spark, path, create=True, ties=True) as w:
         w.append_batch("a", [5] * 10_000 + [6], [1.0] * 10_001)
     assert verify(spark, path).first().record_count == 10_001
+
+
+def test_batches_followed_with_equal_timestamps(spark, thrice, path):
+    same_as_sql(spark, thrice[0], "store_batches_followed")
+    with Writer(spark, path, create=True, ties=True, batch_size=2) as w:
+        w.append_many("a", [(1, 1.0), (1, 2.0), (1, 3.0), (2, 4.0)])
+        with pytest.raises(err.NotIncreasing):
+            w.append("a", 1, 0.0)
+        w.checkpoint()
+        with pytest.raises(err.NotIncreasing):
+            w.append("a", 2, 0.0)
