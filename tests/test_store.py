@@ -445,3 +445,7 @@ def test_batches_followed_with_equal_timestamps(spark, thrice, path):
         w.checkpoint()
         with pytest.raises(err.NotIncreasing):
             w.append("a", 2, 0.0)
+
+
+def test_round_trip_with_equal_timestamps(spark, thrice):
+    same_as_sql(spark, thrice[0], "store_round_trip")
